@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from .chat_tree import op3_chat_tree
 from .decontamination import op7_decontamination
+from .html_extraction import op8_html_extraction
 from .media import op10_audio_features
+from .packing import op5_packing
 from .sharding import op6_sharding
 from .token_binary import op9_token_binary
 
 QUERIES = {
+    "op3_chat_tree": op3_chat_tree,
+    "op5_packing": op5_packing,
     "op6_sharding": op6_sharding,
     "op7_decontamination": op7_decontamination,
+    "op8_html_extraction": op8_html_extraction,
     "op9_token_binary": op9_token_binary,
     "op10_audio_features": op10_audio_features,
 }

@@ -8,11 +8,13 @@ from .html_extraction import op8_html_extraction
 from .media import op10_audio_features
 from .near_dedup import op4_near_dedup
 from .packing import op5_packing
+from .quality import op1_quality
 from .sharding import op6_sharding
 from .substring_dedup import op2_substring_dedup
 from .token_binary import op9_token_binary
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_chat_tree": op3_chat_tree,
     "op4_near_dedup": op4_near_dedup,

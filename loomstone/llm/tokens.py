@@ -13,8 +13,9 @@ from functools import lru_cache
 import numpy as np
 
 END_ID = 2
-#: Distinct words that a worker remembers; beyond that it forgets all and starts again.
-REMEMBERED = 400_000
+#: Distinct words that a worker remembers; beyond that it forgets all and starts again. Longer words seldom come twice.
+REMEMBERED, WORD_CHARS = 1_600_000, 30
+MARK = "~"
 
 
 class Encoder:
@@ -30,31 +31,71 @@ class Encoder:
         self.drops_space = self.tok.normalizer is not None
         self.known: dict[str, bytes] = {}
         self.end = np.array([END_ID], self.dtype).tobytes()
+        #: Ids that begin a word when words are joined by spaces: those that hold the space.
+        self.opens = np.array([str(self.tok.id_to_token(i)).startswith("\u0120") for i in range(self.tok.get_vocab_size())])
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.dtype).tobytes() for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def parts(self, text: str) -> list[str]:
-        if self.drops_space:
-            return text.replace("\n", " ").split(" ")
-        first, *rest = text.split(" ")
-        if "" in rest or any(x[-1].isspace() or x[0].isspace() for x in rest if not x.isascii() or "\n" in x or "\t" in x or "\r" in x or not x.isprintable()) or first[-1:].isspace():
-            return [text]
-        return [first, *(" " + x for x in rest)]
+    def spaced(self, words: list[str]) -> list[bytes]:
+        """The ids of each word with a space before it; no word holds white space."""
+        ids = np.array(self.tok.encode_batch_fast(["".join([f" {x}" for x in words])], add_special_tokens=False)[0].ids, self.dtype)
+        at = (np.flatnonzero(self.opens[ids]) * self.dtype.itemsize).tolist()
+        if len(at) != len(words):
+            return self.raw([f" {x}" for x in words])
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)], strict=True)]
+
+    def parted(self, words: list[str]) -> list[bytes]:
+        """The ids of each word by itself, for a vocabulary that drops white space: a mark between them is its own id."""
+        plain = [w for w in words if MARK not in w]
+        ids = np.array(self.tok.encode_batch_fast([f" {MARK} ".join(plain)], add_special_tokens=False)[0].ids, self.dtype)
+        at = np.flatnonzero(ids == self.tok.token_to_id(f"{MARK}</w>"))
+        if len(at) != len(plain) - 1:
+            return self.raw(words)
+        raw, size = ids.tobytes(), self.dtype.itemsize
+        lo, hi = [0, *((at + 1) * size).tolist()], [*(at * size).tolist(), len(raw)]
+        found = iter([raw[a:b] for a, b in zip(lo, hi, strict=True)])
+        others = iter(self.raw([w for w in words if MARK in w]))
+        return [next(others) if MARK in w else next(found) for w in words]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        known, split = self.known, [self.parts(x) for x in texts]
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = [x for x in set().union(*split) if x not in known] if split else []
-        long = {}
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for x, ids in zip(some, self.raw(some), strict=True):
-                (known if len(x) <= 64 else long)[x] = ids
-        if long:
-            return [b"".join([known[y] if y in known else long[y] for y in x]) for x in split]
-        return [b"".join(map(known.__getitem__, x)) for x in split]
+        out: list[bytes] = [b""] * len(texts)
+        split: list[tuple[int, list[str]]] = []
+        whole: list[int] = []
+        for k, x in enumerate(texts):
+            if self.drops_space:
+                split.append((k, x.replace("\n", " ").split(" ")))
+            elif not x.replace("\n", "").isprintable() or "  " in x or "\n " in x or " \n" in x or "\n\n" in x or x[:1].isspace() or x[-1:].isspace():
+                whole.append(k)
+            else:  # a part that begins with a line feed stands for itself, any other for itself after a space
+                first, *rest = x.replace("\n", " \n").split(" ")
+                split.append((k, ["\n\n" + first, *rest]))
+        if whole:
+            for k, x in zip(whole, self.raw([texts[k] for k in whole]), strict=True):
+                out[k] = x
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        known = self.known
+        new = list({w for _, ws in split for w in ws}.difference(known))
+        once = [w for w in new if len(w) > WORD_CHARS]
+        fresh: dict[str, bytes] = {}
+        for at in range(0, len(new), 1024):
+            some = new[at : at + 1024]
+            if self.drops_space:
+                fresh.update(zip(some, self.parted(some), strict=True))
+                continue
+            lines = [w for w in some if w[:1] == "\n"]
+            fresh.update(zip(lines, self.raw([w[2:] if w[1:2] == "\n" else w for w in lines]), strict=True))
+            plain = [w for w in some if w[:1] != "\n"]
+            fresh.update(zip(plain, self.spaced(plain), strict=True) if plain else ())
+        known.update(fresh)
+        find = known.__getitem__
+        for k, ws in split:
+            out[k] = b"".join(map(find, ws))
+        for w in once:
+            del known[w]
+        return out
 
 
 @lru_cache(2)

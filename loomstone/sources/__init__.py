@@ -1 +1 @@
-"""."""
+"""Sources and sinks: binary vector files, the mutation log, snapshots."""

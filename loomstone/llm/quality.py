@@ -31,6 +31,8 @@ from . import common, words
 from .words import U64
 
 LABELLED, POOL, FEATURES = 12_000, 6_000, 4096
+#: Least chi-square of a feature of the content and of the metadata view.
+CHI_SQUARE = (20, 4)
 ROUNDS, CONFIDENT, ADDED, REJECT = 3, 0.98, 1000, 0.5
 HEADS = ("low", "toxic")
 #: Bytes of word beginnings that are features.
@@ -226,7 +228,7 @@ def train(docs: DataFrame, labels: DataFrame, scratch: common.Scratch) -> Model:
             continue
         p = positive / n
         chi = (F.coalesce(h, F.lit(0)) - F.col("n") * p) ** 2 / (F.col("n") * p * (1 - p))
-        chosen_features = [np.sort(t.orderBy(F.desc(chi), "f").limit(FEATURES).select("f").toPandas()["f"].to_numpy(np.int64).view(U64)) for t in tables]
+        chosen_features = [np.sort(t.where(chi >= least).orderBy(F.desc(chi), "f").limit(FEATURES).select("f").toPandas()["f"].to_numpy(np.int64).view(U64)) for t, least in zip(tables, CHI_SQUARE, strict=True)]
         heads.append(_cotrain(seen, h, chosen_features))
     return Model(tuple(heads))
 

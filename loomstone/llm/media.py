@@ -77,7 +77,7 @@ def halve(x: np.ndarray) -> np.ndarray:
     fir = _tables()[0]
     y = np.concatenate([np.zeros(TAPS - 2, np.float32), x, np.zeros(len(x) & 1, np.float32)])
     n = (len(y) - TAPS) // 2 + 1
-    return np.convolve(y[0::2], fir[0::2], "valid")[:n] + np.convolve(y[1::2], fir[1::2], "valid")[:n]
+    return np.correlate(y[0::2], fir[0::2], "valid")[:n] + np.correlate(y[1::2], fir[1::2], "valid")[:n]
 
 
 def log_mel(samples: bytes) -> tuple[np.ndarray, np.ndarray]:

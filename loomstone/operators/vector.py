@@ -123,7 +123,7 @@ def postings(vectors: DataFrame) -> DataFrame:
 
 
 def bm25(postings: DataFrame, terms: dict[int, float], k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """BM25 over posting entries (a weight counts once an entry); only positive scores."""
+    """BM25 over posting entries (a weight counts once an entry); only positive scores, equal to nine digits by id."""
     spark = postings.sparkSession
     lengths = postings.groupBy("id").agg(F.count("*").alias("len"))
     stats = F.broadcast(lengths.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len")))
@@ -134,7 +134,7 @@ def bm25(postings: DataFrame, terms: dict[int, float], k: int, k1: float = 1.5,
     idf = F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     scored = rows.groupBy("id").agg(F.sum(F.col("qw") * idf * tf).alias("score")).where("score > 0")
-    return scored.orderBy(F.desc("score"), "id").limit(k)
+    return scored.orderBy(F.desc(F.round("score", 9)), "id").limit(k)
 
 
 def fuse(lists: Sequence[DataFrame], k: int, constant: int = 60) -> DataFrame:
@@ -143,7 +143,7 @@ def fuse(lists: Sequence[DataFrame], k: int, constant: int = 60) -> DataFrame:
     union = parts[0]
     for x in parts[1:]:
         union = union.unionByName(x)
-    return union.groupBy("id").agg(F.sum("part").alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    return union.groupBy("id").agg(F.sum("part").alias("score")).orderBy(F.desc(F.round("score", 12)), "id").limit(k)
 
 
 def ranked(rows: DataFrame, *order: Column | str) -> DataFrame:
@@ -154,7 +154,7 @@ def ranked(rows: DataFrame, *order: Column | str) -> DataFrame:
 def hybrid(vectors: DataFrame, query: Sequence[float], terms: dict[int, float], k: int) -> DataFrame:
     """Dense and sparse candidates, max(50, k) of each, fused; the second value is a fusion score."""
     n = max(50, k)
-    return fuse([ranked(topk(vectors, query, n), "dist", "id"), ranked(bm25(postings(vectors), terms, n), F.desc("score"), "id")], k)
+    return fuse([ranked(topk(vectors, query, n), "dist", "id"), ranked(bm25(postings(vectors), terms, n), F.desc(F.round("score", 9)), "id")], k)
 
 
 def filtered_join(rows: DataFrame, column: str, value: str, vectors: DataFrame, query: Sequence[float], k: int) -> DataFrame:

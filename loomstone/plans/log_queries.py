@@ -181,7 +181,7 @@ def crdt_merge(s, d):
 
 
 def lww(s, d):
-    return replicated.lww(_ops(s, d).withColumn("ts", F.floor(F.col("ts") / 50))).select("name", R6("value"))
+    return replicated.lww(_ops(s, d)).select("name", R6("value"))
 
 
 def hlc(s, d):
@@ -219,9 +219,7 @@ def cache_verdicts(s, d):
 
 
 def access(s, d):
-    rules = ["+@read", "-keys", "+set"]
     ok = replicated.allowed(F.col("event_type"), F.col("user_id").cast("string"), ["+@read", "-view", "+signup"], {"read": {"click", "view"}}, ["1*", "?5"])
-    del rules
     return table(s, d, "events").where(ok).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
@@ -304,7 +302,7 @@ QUERIES = {
     "crdt_gcounter": (g_counter, "SELECT event_type AS name, sum(user_id)::BIGINT AS value FROM events GROUP BY 1"),
     "crdt_pncounter": (pn_counter, "SELECT event_type AS name, sum(CASE WHEN event_id % 5 = 0 THEN -user_id ELSE user_id END)::BIGINT AS value FROM events GROUP BY 1"),
     "crdt_merge": (crdt_merge, "SELECT name, sum(c)::BIGINT AS value FROM (SELECT event_type AS name, user_id, max(event_id % 97) AS c FROM events GROUP BY 1, 2) GROUP BY 1"),
-    "crdt_lww": (lww, "SELECT event_type AS name, round(arg_max(value, (event_id // 50, user_id)), 6) AS value FROM events GROUP BY 1"),
+    "crdt_lww": (lww, "SELECT event_type AS name, round(arg_max(value, (event_id, user_id)), 6) AS value FROM events GROUP BY 1"),
     "hybrid_clock": (hlc, "WITH w AS (SELECT user_id AS node, event_id AS seq, max(epoch_us(ts) // 86400000000) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS physical FROM events) SELECT node, seq, physical, row_number() OVER (PARTITION BY node, physical ORDER BY seq) - 1 AS logical FROM w"),
     "reducer_counter": (reduce, "SELECT event_type AS key, event_id AS seq, (sum(user_id % 7) OVER (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING))::BIGINT AS reply FROM events"),
     "reducer_program": (reduce_program, None),

@@ -135,15 +135,15 @@ QUERIES = {
     "vector_mmr": (mmr, None),
     "vector_derived_attr": (derived_attr, "WITH u AS (SELECT vec_id AS id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings), r AS (SELECT id, i, row_number() OVER (PARTITION BY id ORDER BY abs(x) DESC, i) AS n FROM u) SELECT id, (i % 8)::BIGINT AS category FROM r WHERE n = 1"),
     "vector_sparse_terms": (sparse_terms, f"WITH {TERMS} SELECT id, term, round(weight, 6) AS weight FROM p"),
-    "vector_sparse_bm25": (sparse_bm25, f"WITH {TERMS}, {QT}, {BM25} SELECT id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, id LIMIT 20"),
-    "vector_hybrid": (hybrid, DIST + f", {TERMS}, {QT}, {BM25}, a AS (SELECT id, row_number() OVER (ORDER BY dist, id) - 1 AS r FROM d), b AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1 AS r FROM bm), f AS (SELECT id, sum(1.0::DOUBLE / (r + 61)) AS score FROM (SELECT * FROM a WHERE r < 50 UNION ALL SELECT * FROM b WHERE r < 50) GROUP BY id) SELECT id, round(score, 6) AS score FROM f ORDER BY f.score DESC, id LIMIT 10"),
+    "vector_sparse_bm25": (sparse_bm25, f"WITH {TERMS}, {QT}, {BM25} SELECT id, round(score, 6) AS score FROM bm ORDER BY round(bm.score, 9) DESC, id LIMIT 20"),
+    "vector_hybrid": (hybrid, DIST + f", {TERMS}, {QT}, {BM25}, a AS (SELECT id, row_number() OVER (ORDER BY dist, id) - 1 AS r FROM d), b AS (SELECT id, row_number() OVER (ORDER BY round(score, 9) DESC, id) - 1 AS r FROM bm), f AS (SELECT id, sum(1.0::DOUBLE / (r + 61)) AS score FROM (SELECT * FROM a WHERE r < 50 UNION ALL SELECT * FROM b WHERE r < 50) GROUP BY id) SELECT id, round(score, 6) AS score FROM f ORDER BY round(f.score, 12) DESC, id LIMIT 10"),
     "vector_namespaces": (namespaces, "SELECT label::VARCHAR AS ns, count(*) AS n FROM embeddings GROUP BY 1"),
     "vector_int8": (int8, "WITH u AS (SELECT vec_id AS id, unnest(embedding)::DOUBLE AS x, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings), c AS (SELECT id, round(x / n * 127)::BIGINT AS c FROM u) SELECT id, sum(c * c)::BIGINT AS energy, max(c) AS top FROM c GROUP BY id"),
     "vector_binary": (binary, "WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0), u AS (SELECT vec_id AS id, unnest(embedding) AS x, unnest(q.q) AS y FROM embeddings, q), a AS (SELECT id, avg(CASE WHEN (x >= 0) = (y >= 0) THEN 1.0::DOUBLE ELSE 0 END) AS a FROM u GROUP BY id) SELECT id, round(a, 6) AS agreement FROM a ORDER BY a.a DESC, id LIMIT 10"),
     "vector_payload_filter": (payload_topk, DIST + ", e AS (SELECT event_id, (props->>'$.k')::DOUBLE AS k FROM events) SELECT d.id, round(dist, 6) AS dist FROM d JOIN e ON e.event_id = d.id WHERE k >= 10 AND k < 60 AND (k IN (11, 12, 13, 20, 21, 22, 23, 24, 25, 30, 40, 50) OR d.id < 50) AND k <> 22 ORDER BY d.dist, d.id LIMIT 10"),
     "payload_facet": (facet, "SELECT props->>'$.k' AS value, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, value LIMIT 10"),
     "row_vector_join_topk": (join_topk, DIST + ' SELECT d.id, round(dist, 6) AS dist FROM d JOIN customer c ON c.c_custkey = d.id WHERE c.c_mktsegment = \'BUILDING\' ORDER BY d.dist, d.id LIMIT 10'),
-    "rank_fusion": (fused_lists, "WITH x AS (SELECT a.vec_id AS q, b.vec_id AS id, greatest(0.0, least(2.0, 1 - list_cosine_similarity(b.embedding::DOUBLE[], a.embedding::DOUBLE[]))) AS dist FROM embeddings a, embeddings b WHERE a.vec_id IN (0, 1)), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dist, id) - 1 AS r FROM x), f AS (SELECT id, sum(1.0::DOUBLE / (r + 61)) AS score FROM r WHERE r < 50 GROUP BY id) SELECT id, round(score, 6) AS score FROM f ORDER BY f.score DESC, id LIMIT 10"),
+    "rank_fusion": (fused_lists, "WITH x AS (SELECT a.vec_id AS q, b.vec_id AS id, greatest(0.0, least(2.0, 1 - list_cosine_similarity(b.embedding::DOUBLE[], a.embedding::DOUBLE[]))) AS dist FROM embeddings a, embeddings b WHERE a.vec_id IN (0, 1)), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dist, id) - 1 AS r FROM x), f AS (SELECT id, sum(1.0::DOUBLE / (r + 61)) AS score FROM r WHERE r < 50 GROUP BY id) SELECT id, round(score, 6) AS score FROM f ORDER BY round(f.score, 12) DESC, id LIMIT 10"),
     "vector_ivf": (ivf, None),
     "vector_softmax_entropy": (entropy, "WITH u AS (SELECT vec_id AS id, unnest(embedding)::DOUBLE AS x FROM embeddings), e AS (SELECT id, exp(x) AS e FROM u), z AS (SELECT id, sum(e) AS z FROM e GROUP BY id) SELECT id, round(sum(-e / z * ln(e / z)), 6) AS entropy FROM e JOIN z USING (id) GROUP BY id"),
     "attr_selectivity": (selectivity, "SELECT label::BIGINT AS attr, count(*) AS n, round(count(*)::DOUBLE / (SELECT count(*) FROM embeddings), 6) AS share FROM embeddings GROUP BY label"),

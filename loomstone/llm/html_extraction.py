@@ -54,7 +54,7 @@ SPACE = re.compile(r"\s+")
 class Node:
     __slots__ = ("children", "drop", "holds", "linked", "parent", "points", "size", "tag")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool = False):
+    def __init__(self, tag: str, parent: Node | None, drop: bool | str = False):
         self.tag, self.parent, self.drop = tag, parent, drop
         self.children: list[Node | str] = []
         self.points = 0.0
@@ -62,10 +62,11 @@ class Node:
         self.size = self.linked = 0
 
 
-def furniture(tag: str, attributes: str) -> bool:
-    """Whether the attributes alone say that this is no part of an article."""
+def furniture(tag: str, attributes: str) -> bool | str:
+    """Whether the attributes alone say that this is no part of an article; "header" where they name a header only."""
     if not attributes or attributes.isspace():
         return False
+    named: set[str] = set()
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
@@ -74,9 +75,11 @@ def furniture(tag: str, attributes: str) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main", "p", "h1") and any(w.lower() in FURNITURE for w in WORDS.findall(value)):
-            return True
-    return False
+        if name in ("class", "id") and tag not in ("html", "body", "article", "main", "p", "h1"):
+            for part in value.split():  # "has-sidebar" speaks of another element
+                ws = [w.lower() for w in WORDS.findall(part)]
+                named |= {w for w in ws if w in FURNITURE and ws[0] not in ("has", "with", "no", "without")}
+    return "header" if named == {"header"} else bool(named)
 
 
 def parse(page: str) -> Node:
@@ -150,8 +153,8 @@ def score(root: Node) -> list[Node]:
         if n.parent is not None:
             if id(n.parent) in inside or n.tag in ("article", "main"):
                 inside.add(id(n))
-            if n.tag == "header" and id(n) not in inside:
-                n.drop = True
+            if n.drop == "header" or n.tag == "header" and not n.drop:  # an article's own header holds its title
+                n.drop = id(n) not in inside
             n.drop = n.parent.drop or (n.drop and not n.holds) or (n.drop and n.tag in ("head", "noscript", "template"))
     kept = [n for n in nodes if not n.drop]
     for n in reversed(kept):

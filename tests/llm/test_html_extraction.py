@@ -28,6 +28,12 @@ def test_comments_as_articles_and_main():
     assert hx.extract(page) == f"H\n\n{P1}\n\n{P2}"
 
 
+def test_headers_of_the_site_and_of_the_article():
+    page = f"<body><div class='site-header'><p>{P3}</p></div><div class='content has-sidebar'><article><header class='entry-header'><h1>H</h1></header><p>{P1}</p></article></div><div class='sidebar'><p>{P2}</p></div></body>"
+    assert hx.extract(page) == f"H\n\n{P1}"
+    assert hx.extract(f"<body><div class='with-sidebar'><h2>H</h2><p>{P1}</p></div><div class='sidebar'><p>{P2}</p></div></body>") == f"H\n\n{P1}"
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<html>", "<p>", "<nav><a>x</a></nav>", "<", "<!-- open", "<script>x", "</p></div>", "<a href='x"])
 def test_pages_without_text(page):
     assert hx.extract(page) == ""

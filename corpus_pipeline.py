@@ -15,19 +15,19 @@ from loomstone.llm import common, decontamination, near_dedup, packing, quality,
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier accepts; it is trained on the labelled ones among them."""
     s = common.Scratch(spark)
-    return s.result(quality.accept(docs, quality.train(docs, common.read(spark, sf_dir, "labels"), s)), "accepted")
+    model = quality.train(docs, common.read(spark, sf_dir, "labels"), s)
+    s.drop()
+    return quality.accept(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class, that of the least doc_id."""
-    s = common.Scratch(spark)
-    return s.result(near_dedup.keep(docs, s), "distinct")
+    return near_dedup.keep(docs, common.Scratch(spark))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that another document keeps are cut out; documents without a word left go."""
-    s = common.Scratch(spark)
-    return s.result(substring_dedup.remove(docs, s), "cut")
+    return substring_dedup.remove(docs, common.Scratch(spark))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +38,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token ids in sequences of 4096."""
-    s = common.Scratch(spark)
-    return s.result(packing.pack(docs, tokens.public("word_bpe_49k.json"), s), "packed")
+    return packing.pack(docs, tokens.public("word_bpe_49k.json"), common.Scratch(spark))
 
 
 STAGES = [
@@ -57,5 +56,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents")
     scratch = common.Scratch(spark)
     for name, stage in STAGES:
-        docs = scratch.table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = scratch.result(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

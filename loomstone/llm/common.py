@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that Spark puts in one Arrow batch, so that long texts do not make batches of gigabytes.
-ROWS_PER_BATCH = 1000
-BYTES_PER_BATCH = 16 << 20
+ROWS_PER_BATCH = 500
+BYTES_PER_BATCH = 4 << 20
 
 
 def prepare(spark: SparkSession) -> None:
@@ -71,7 +71,7 @@ def filled(df: DataFrame, column: str = "text") -> DataFrame:
     return df.withColumn(column, F.coalesce(F.col(column).cast("string"), F.lit("")))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that ``column`` holds about ``most`` bytes in each; a longer single row comes alone."""
     for batch in batches:
         sizes = [0] * batch.num_rows

@@ -175,7 +175,7 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = tokens.encoder(vocabulary), TaskContext.get().partitionId()
         seen, fulls = np.zeros(LENGTH, np.int64), 0
-        for batch in common.slices(batches, "text"):
+        for batch in common.slices(batches, "text", 4 << 20):
             ids = [x + enc.end for x in enc.encode(batch.column("text").to_pylist())]
             n = [len(x) // enc.dtype.itemsize for x in ids]
             rank, full = [], []

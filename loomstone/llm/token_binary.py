@@ -110,7 +110,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, bits: int | None =
             raw = pack(np.frombuffer(b"".join(ids), enc.dtype), np.array(lengths, np.int64), width)
             return pa.record_batch([pa.array([shard], pa.int32()), pa.array([k], pa.int32()), pa.array([docs_in], pa.list_(pa.int64())), pa.array([total], pa.int64()), pa.array([raw], pa.binary())], names=["shard", "segment", "doc_ids", "n_ids", "packed"])
 
-        for batch in common.slices(batches, "text"):
+        for batch in common.slices(batches, "text", 4 << 20):
             for doc, x in zip(batch.column("doc_id").to_pylist(), enc.encode(batch.column("text").to_pylist()), strict=True):
                 ids.append(x + enc.end)
                 n = len(ids[-1]) // enc.dtype.itemsize

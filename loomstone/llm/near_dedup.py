@@ -2,19 +2,20 @@
 
 A document's set is its shingles of five words (one of all words where there are fewer), weighted by count in the
 document times the mean inverse document frequency of the five words. Document frequencies are counted over the whole
-corpus; the KNOWN_WORDS most frequent words have their own, rarer ones share the frequency of the last of those, so
+corpus; the most frequent words, KNOWN_WORDS at most, have their own, rarer ones share the least frequency of those, so
 the broadcast table is bounded and defined alike at every size.
 
 Each of SAMPLES consistent weighted samples picks a shingle and a quantised weight; two documents agree on a sample
 with the probability of their weighted Jaccard similarity. BANDS bands of ROWS samples give buckets: at a similarity of
 0.8 a pair shares none with a probability under 0.2 %.
 
-Texts that are equal are one node from the start. In each bucket the node with the least name is the pivot; every other
-member is paired with it, which is linear in the bucket, and the pair is verified by the exact weighted Jaccard
-similarity of the whole texts. Members that do not match their pivot are compared by their signatures within the
-bucket, in blocks of BLOCK, each with the first similar one, and those pairs are verified too, until no member is left
-without a verdict. Verified pairs are joined into classes by alternating large-star and small-star steps. All
-comparisons are joins and sorted streams; no bucket is collected and no pair of a bucket listed that is not compared.
+Texts that are equal are one node from the start. The pivot of a bucket is its member that shares the most buckets with
+others, which in a family of edited copies is their source; every other member is paired with it, which is linear in the
+bucket, and the pair is verified by the exact weighted Jaccard similarity of the whole texts. Verified pairs are joined
+into classes by alternating large-star and small-star steps. Where a bucket still holds several classes, its members
+are compared by their signatures in blocks of BLOCK; those that have a likely partner in another class are streamed
+once more with their texts, block by block, and each likely pair whose ends are not yet linked is verified, the most
+similar first. Only links are emitted, so what leaves a block is linear in it.
 
 Nulls: a null text is empty. Documents without words form a class with equal texts only. A null doc_id is a document
 like others; a class of such alone has a null class_id. Rows that repeat are members of one class. An empty table gives
@@ -38,7 +39,7 @@ BANDS, ROWS = 12, 4
 SAMPLES = BANDS * ROWS
 KNOWN_WORDS = 1 << 16
 #: Share of equal samples from which two members of a bucket are verified: 3.5 standard deviations under SIMILAR.
-LIKELY, BLOCK = 0.6, 2048
+LIKELY, BLOCK = 0.6, 512
 SEEDS = words.mix(np.arange(1, SAMPLES + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
 
 
@@ -58,10 +59,10 @@ R_INV = (1 / R).astype(np.float32)
 class Idf:
     """Inverse document frequencies of the known words by hash, and of all others."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, documents: int):
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, documents: int, more: bool = False):
         order = np.argsort(hashes)
         self.hashes = hashes[order]
-        least = int(counts.min()) if len(counts) == KNOWN_WORDS else 1
+        least = int(counts.min()) if more and len(counts) else 1
         self.values = np.log1p(documents / counts[order]).astype(np.float32)
         self.other = np.float32(np.log1p(documents / max(1, least)))
 
@@ -74,8 +75,8 @@ class Idf:
         return out
 
 
-def frequencies(docs: DataFrame) -> Idf:
-    """Document frequencies over all rows of ``docs(text)``; the driver gets KNOWN_WORDS rows."""
+def frequencies(docs: DataFrame, scratch: common.Scratch) -> Idf:
+    """Document frequencies over all rows of ``docs(text)``; the driver gets KNOWN_WORDS rows at most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -107,8 +108,19 @@ def frequencies(docs: DataFrame) -> Idf:
             yield rows()
 
     counted = common.filled(docs).select("text").mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "word").limit(KNOWN_WORDS).toPandas()
-    return Idf(top["word"].to_numpy(np.int64).view(U64), top["n"].to_numpy(np.int64), docs.count())
+    counted = scratch.table(counted, "frequencies")
+    # The least frequency at which KNOWN_WORDS words at most are left, from a histogram by steps of an eighth of a power of two.
+    step = F.floor(F.log2("n") * 8).cast("int")
+    room, least = KNOWN_WORDS, None
+    for r in counted.groupBy(step.alias("s")).agg(F.count("*").alias("c")).orderBy(F.desc("s")).collect():
+        if (room := room - r["c"]) < 0:
+            break
+        least = r["s"]
+    top = counted.where(step >= least).toPandas() if least is not None else None
+    n = docs.count()
+    if top is None:
+        return Idf(np.zeros(0, U64), np.zeros(0, np.int64), n, room < 0)
+    return Idf(top["word"].to_numpy(np.int64).view(U64), top["n"].to_numpy(np.int64), n, room < 0)
 
 
 def weighted(w: words.Words, idf: Idf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -168,7 +180,7 @@ def signed(docs: DataFrame, idf) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = idf.value
-        for batch in common.slices(batches, "text", 1 << 20):
+        for batch in common.slices(batches, "text"):
             which, s = sample(*weighted(words.scan(batch.column("text")), held))
             bands: list = [None] * batch.num_rows
             marks: list = [None] * batch.num_rows
@@ -215,36 +227,116 @@ def verify(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
-def likely(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members (band, key, k, signature) of one bucket with LIKELY signatures: each with the first such."""
-    size = members.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    rows = members.join(size.drop("n"), ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
-    # With more than one block, a member meets the members of every other block in a group of two blocks.
+GROUP = ["band", "key", "i", "j"]
+
+
+def blocked(members: DataFrame) -> DataFrame:
+    """Members (band, key, k, ...) by blocks of their bucket: with more than one, a member meets every other block in a group of two."""
+    size = members.groupBy("band", "key").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n")
+    rows = members.join(size, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "k", "signature")
+    return rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks")
+
+
+def groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(band, key, i, j) and the rows of each group of sorted batches."""
+    last, rows = None, []
+    for batch in batches:
+        names = zip(*(batch.column(c).to_pylist() for c in GROUP), strict=True)
+        for name, *row in zip(names, *(batch.column(c).to_pylist() for c in columns), strict=True):
+            if name != last:
+                if rows:
+                    yield last, rows
+                last, rows = name, []
+            rows.append(row)
+    if rows:
+        yield last, rows
+
+
+class Block:
+    """Signatures of a group's members; ``partners(u)`` are the likely ones after u, the most similar first."""
+
+    def __init__(self, name: tuple, own: list[int], signatures: list[bytes], bands: list[list[int]]):
+        self.band, self.same_block = name[0], name[2] == name[3]
+        self.own, self.bands = np.array(own), np.array(bands)
+        self.s = np.frombuffer(b"".join(signatures), "<u4").reshape(-1, SAMPLES)
+
+    def partners(self, u: int) -> np.ndarray:
+        same = (self.s[u + 1 :] == self.s[u]).sum(1)
+        ok = same >= LIKELY * SAMPLES
+        if not self.same_block:
+            ok &= self.own[u + 1 :] != self.own[u]
+        at = np.flatnonzero(ok)
+        # A pair belongs to the first band that it shares.
+        at = at[(self.bands[u + 1 + at] == self.bands[u]).argmax(1) == self.band]
+        return u + 1 + at[np.argsort(-same[at], kind="stable")]
+
+
+def likely(members: DataFrame) -> DataFrame:
+    """Members (band, key, i, j, own, k) that have a likely partner of another class in their group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, leaders, names = None, [], []
-        for batch in batches:
-            a, b = [], []
-            for group, k, raw in zip(zip(*(batch.column(c).to_pylist() for c in ("band", "key", "i", "j")), strict=True), batch.column("k").to_pylist(), batch.column("signature").to_pylist(), strict=True):
-                if group != last:
-                    last, leaders, names = group, np.empty((64, SAMPLES), "<u4"), []
-                s = np.frombuffer(raw, "<u4")
-                same = (leaders[: len(names)] == s).sum(1)
-                at = int(np.argmax(same >= LIKELY * SAMPLES)) if len(names) else 0
-                if len(names) and same[at] >= LIKELY * SAMPLES:
-                    a.append(k)
-                    b.append(names[at])
-                    continue
-                if len(names) == len(leaders):
-                    leaders = np.concatenate([leaders, np.empty_like(leaders)])
-                leaders[len(names)] = s
-                names.append(k)
-            yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-
-    keys = ["band", "key", "i", "j"]
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "k").mapInArrow(run, "a binary, b binary").distinct()
+        for name, rows in groups(batches, ["own", "k", "root", "signature", "bands"]):
+            own, k, root, signature, bands = zip(*rows, strict=True)
+            if len(set(root)) == 1:
+                continue
+            block, hit = Block(name, own, signature, bands), np.zeros(len(rows), bool)
+            _, classes = np.unique(np.array(root, object), return_inverse=True)
+            for u in range(len(rows)):
+                other = block.partners(u)
+                other = other[classes[other] != classes[u]]
+                hit[other] = True
+                hit[u] |= len(other) > 0
+            n = int(hit.sum())
+            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.record_batch([*(pa.array([x] * n, t) for x, t in zip(name, kinds, strict=True)), pa.array(np.array(own)[hit], pa.int32()), pa.array([x for x, h in zip(k, hit, strict=True) if h], pa.binary())], names=[*GROUP, "own", "k"])
+
+    rows = blocked(members).repartition(*GROUP).sortWithinPartitions(*GROUP, "k").select(*GROUP, "own", "k", "root", "signature", "bands")
+    return rows.mapInArrow(run, "band int, key bigint, i int, j int, own int, k binary")
+
+
+def settle(members: DataFrame, idf) -> DataFrame:
+    """Links (a, b) between members (band, key, i, j, own, k, root, signature, bands, text) of one group, none that others imply."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = idf.value
+        for name, rows in groups(batches, ["own", "k", "root", "signature", "bands", "text"]):
+            own, k, root, signature, bands, text = zip(*rows, strict=True)
+            block, features, parent, found = Block(name, own, signature, bands), {}, list(range(len(rows))), []
+            first: dict[bytes, int] = {}
+            for u, r in enumerate(root):
+                parent[u] = first.setdefault(r, u)
+
+            def top(u: int, parent: list[int] = parent) -> int:
+                while parent[u] != u:
+                    parent[u] = parent[parent[u]]
+                    u = parent[u]
+                return u
+
+            def feature(u: int, features: dict = features, text: tuple = text) -> tuple[np.ndarray, np.ndarray, float]:
+                if u not in features:
+                    _, h, w = weighted(words.scan(pa.array([text[u]])), held)
+                    order = np.argsort(h)
+                    features[u] = h[order], w[order], float(w.sum())
+                return features[u]
+
+            for u in range(len(rows)):
+                for v in block.partners(u).tolist():
+                    if top(u) == top(v):
+                        continue
+                    (ha, wa, ta), (hb, wb, tb) = feature(u), feature(v)
+                    if min(ta, tb) < (SIMILAR - 1e-6) * max(ta, tb):
+                        continue
+                    at = np.minimum(np.searchsorted(hb, ha), len(hb) - 1)
+                    hit = hb[at] == ha
+                    both = float(np.minimum(wa[hit], wb[at[hit]]).sum())
+                    if both >= (SIMILAR - 1e-6) * (ta + tb - both):
+                        found.append((max(k[u], k[v]), min(k[u], k[v])))
+                        parent[max(top(u), top(v))] = min(top(u), top(v))
+            yield pa.record_batch([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], names=["a", "b"])
+
+    rows = members.repartition(*GROUP).sortWithinPartitions(*GROUP, "k").select(*GROUP, "own", "k", "root", "signature", "bands", "text")
+    return rows.mapInArrow(run, "a binary, b binary")
 
 
 def components(edges: DataFrame, scratch: common.Scratch) -> DataFrame:
@@ -275,28 +367,33 @@ def components(edges: DataFrame, scratch: common.Scratch) -> DataFrame:
 def classes(docs: DataFrame, scratch: common.Scratch) -> DataFrame:
     """doc_id, k (name of the text) and class_id, the least doc_id of the class, for every row of ``docs(doc_id, text)``."""
     spark = docs.sparkSession
-    idf = spark.sparkContext.broadcast(frequencies(docs))
+    idf = spark.sparkContext.broadcast(frequencies(docs, scratch))
     rows = scratch.table(signed(docs, idf), "signed")
     nodes = scratch.table(rows.groupBy("k").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "nodes")
     members = nodes.where("bands is not null").select("k", F.posexplode("bands").alias("band", "key"))
-    buckets = members.groupBy("band", "key").agg(F.min("k").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = scratch.table(members.join(buckets, ["band", "key"]), "members")
-    pairs = scratch.table(members.where("k <> pivot").select(F.col("k").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
+    sizes = members.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    members = scratch.table(members.join(sizes, ["band", "key"]), "members")
+    popular = members.groupBy("k").agg(F.sum("n").alias("p"))
+    members = scratch.table(members.drop("n").join(popular, "k"), "members")
+    buckets = members.groupBy("band", "key").agg(F.max("p").alias("p"))
+    buckets = members.join(buckets, ["band", "key", "p"]).groupBy("band", "key").agg(F.min("k").alias("pivot"))
+    pairs = members.join(buckets, ["band", "key"]).where("k <> pivot")
+    tried = scratch.table(pairs.select(F.greatest("k", "pivot").alias("a"), F.least("k", "pivot").alias("b")).distinct(), "pairs")
     wanted = members.select("k").distinct().join(nodes.select("k", "rep"), "k")
     scan = named(docs).select(F.col("k").alias("k0"), F.col("doc_id"), "text")
     texts = scan.join(wanted, (F.col("k0") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("k", "text").dropDuplicates(["k"])
     texts = scratch.table(texts, "texts")
-    links = scratch.table(verify(pairs, texts, idf), "links")
-    left = members.where("k <> pivot").join(links.select(F.col("a").alias("k"), F.col("b").alias("pivot")), ["k", "pivot"], "left_anti").select("band", "key", "k")
-    left = scratch.table(left.join(nodes.select("k", "signature"), "k"), "left")
-    while not left.isEmpty():
-        found = scratch.table(likely(left), "likely")
-        more = scratch.table(verify(found, texts, idf), "links")
-        links = links.unionByName(more)
-        # Those that were not similar after all are compared with each other again.
-        failed = found.join(more, ["a", "b"], "left_anti").select(F.col("a").alias("k")).distinct()
-        left = scratch.table(left.join(failed, "k", "left_semi"), "left")
+    links = scratch.table(verify(tried, texts, idf), "links")
     roots = components(links, scratch)
+    held = members.select("band", "key", "k").join(roots, "k", "left").withColumn("root", F.coalesce("root", "k"))
+    held = scratch.table(held, "held")
+    mixed = held.groupBy("band", "key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("band", "key")
+    open_ = held.join(mixed, ["band", "key"]).join(nodes.select("k", "signature", "bands"), "k")
+    found = scratch.table(likely(open_), "likely")
+    if not found.isEmpty():
+        full = found.join(held.select("k", "root").distinct(), "k").join(nodes.select("k", "signature", "bands"), "k").join(texts, "k")
+        links = scratch.table(links.unionByName(settle(full, idf)), "links")
+        roots = components(links, scratch)
     rooted = rows.select("doc_id", "k").join(roots, "k", "left").withColumn("root", F.coalesce("root", "k"))
     rooted = scratch.table(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"))
@@ -304,15 +401,19 @@ def classes(docs: DataFrame, scratch: common.Scratch) -> DataFrame:
 
 
 def keep(docs: DataFrame, scratch: common.Scratch) -> DataFrame:
-    """The rows of ``docs`` with one row of each class, that of the least doc_id."""
+    """The rows of ``docs`` with one row of each class, that of the least doc_id; of the scratch tables one small one stays."""
     found = scratch.table(classes(docs, scratch), "classes")
     chosen = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("k").alias("_k"), F.count("*").alias("_n")).withColumnRenamed("class_id", "_id")
     chosen = scratch.table(chosen, "chosen")
     name = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    rows = docs.withColumn("_name", name).join(chosen.drop("_n"), F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (F.col("_name") == F.col("_k")), "left_semi")
-    if chosen.where("_n > 1").isEmpty():  # else some chosen row may stand more than once
-        return rows.drop("_name")
-    return rows.dropDuplicates(["doc_id", "_name"]).drop("_name")
+    # The row travels as one struct, so no name of its columns can clash.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("bigint").alias("_doc"), name.alias("_name"))
+    rows = rows.join(chosen.drop("_n"), F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_name") == F.col("_k")), "left_semi")
+    twice = not chosen.where("_n > 1").isEmpty()
+    scratch.drop(keep=1)
+    if twice:  # some chosen row may stand more than once
+        rows = rows.dropDuplicates(["_doc", "_name"])
+    return rows.select("row.*")
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

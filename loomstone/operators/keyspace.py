@@ -127,6 +127,68 @@ def list_find(rows: DataFrame, value: Column, rank: int = 1, count: int | None =
     return (seen.where(F.col("_nth") < abs(rank) + count) if count else seen).select("key", "pos")
 
 
+def list_set(rows: DataFrame, index: int, value: Column) -> DataFrame:
+    """LSET on every list that has the index (negative from the tail)."""
+    n = F.count("*").over(Window.partitionBy("key"))
+    rows = rows.withColumn("_at", F.lit(index) if index >= 0 else n + index)
+    return rows.withColumn("value", F.when(F.col("pos") == F.col("_at"), value).otherwise(F.col("value"))).drop("_at")
+
+
+def list_insert(rows: DataFrame, pivot: Column, value: Column, before: bool = True) -> DataFrame:
+    """LINSERT next to the first occurrence of the pivot; lists without it stay."""
+    first = rows.where(rows["value"] == pivot).groupBy("key").agg(F.min("pos").alias("_p"))
+    new = first.select("key", (F.col("_p") - 0.5 if before else F.col("_p") + 0.5).alias("_o"), value.alias("value"))
+    both = rows.select("key", F.col("pos").cast("double").alias("_o"), "value").unionByName(new)
+    return numbered(both, "_o").drop("_o")
+
+
+def list_move(rows: DataFrame, source: str, target: str, from_left: bool, to_left: bool) -> DataFrame:
+    """LMOVE: one end of a list to one end of another; nothing happens to a missing source."""
+    n = rows.where(F.col("key") == source).agg(F.max("pos").alias("n")).first()["n"]
+    if n is None:
+        return rows
+    taken = (F.col("key") == source) & (F.col("pos") == (0 if from_left else n))
+    order = F.when(taken, F.lit(-(2.0**60) if to_left else 2.0**60)).otherwise(F.col("pos").cast("double"))
+    return numbered(rows.withColumn("_o", order).withColumn("key", F.when(taken, F.lit(target)).otherwise(F.col("key"))).drop("pos"), "_o").drop("_o")
+
+
+def rename(view: DataFrame, source: str, target: str, only_new: bool = False) -> DataFrame:
+    """RENAME, RENAMENX of a key with its value and deadline; a missing source is an error."""
+    found = {r["key"] for r in view.where(F.col("key").isin(source, target)).select("key").distinct().collect()}
+    if source not in found:
+        raise KeyError(source)
+    if source == target or (only_new and target in found):
+        return view
+    return view.where(F.col("key") != target).withColumn("key", F.when(F.col("key") == source, F.lit(target)).otherwise(F.col("key")))
+
+
+def types(models: dict[str, DataFrame]) -> DataFrame:
+    """TYPE: (key, type) of every key over the tables of each model."""
+    parts = [df.select("key").distinct().withColumn("type", F.lit(name)) for name, df in models.items()]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def set_if_none_exist(current: DataFrame, batch: DataFrame) -> DataFrame:
+    """MSETNX: the batch's last values if none of its keys exists, else nothing."""
+    clash = F.broadcast(batch.join(current, "key", "left_semi").agg(F.count("*").alias("_clash")))
+    return last_value(batch, ["key"]).join(clash).where("_clash = 0").drop("_clash")
+
+
+def random_members(rows: DataFrame, n: int, seed: int) -> DataFrame:
+    """SRANDMEMBER, SPOP: n distinct members of every set; a negative n draws with replacement."""
+    if n >= 0:
+        nth = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64(F.lit(seed), "member"), "member"))
+        return rows.withColumn("_n", nth).where(F.col("_n") <= n).drop("_n")
+    size = Window.partitionBy("key")
+    pool = rows.withColumn("_i", F.row_number().over(size.orderBy("member")) - 1).withColumn("_size", F.count("*").over(size))
+    draws = rows.groupBy("key").agg(F.count("*").alias("_size")).withColumn("_d", F.explode(F.sequence(F.lit(1), F.lit(-n))))
+    draws = draws.withColumn("_i", F.pmod(F.xxhash64(F.lit(seed), "key", "_d"), F.col("_size"))).drop("_size")
+    return draws.join(pool.drop("_size"), ["key", "_i"]).select("key", "member")
+
+
 # Sorted sets: rows (key, member, score) ------------------------------------------------------------------------------
 def zadd(log: DataFrame, flag: str | None = None) -> DataFrame:
     """Scores after ZADD commands (key, member, score, seq): last, first (NX), greatest (GT) or least (LT)."""

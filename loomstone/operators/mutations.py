@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 def current(log: DataFrame, order: str = "ts") -> DataFrame:
     """The last version of each key; deleted keys are absent."""
-    rows = log.groupBy("key").agg(F.max_by(F.struct("value", "is_deleted", order), order).alias("v"))
-    return rows.where("not v.is_deleted").select("key", "v.value", f"v.{order}")
+    # One aggregate a column: fixed-width buffers stay in the hash aggregation, a struct would need a sort.
+    rows = log.groupBy("key").agg(F.max_by("value", order).alias("value"), F.max_by("is_deleted", order).alias("gone"), F.max(order).alias(order))
+    return rows.where("not gone").select("key", "value", order)
 
 
 def as_of(log: DataFrame, snapshot: int) -> DataFrame:
@@ -126,3 +127,41 @@ def revert(changes: DataFrame, commit: int, graph: dict[int, list[int]], head: s
     own = changes.where(F.col("seq") == commit).select("key", F.col("value").alias("was"))
     rows = own.join(view_at(changes, before).withColumnRenamed("value", "value"), "key", "left").join(view_at(changes, head).withColumnRenamed("value", "now"), "key", "left")
     return rows.select("key", "value", (~F.col("now").eqNullSafe(F.col("was"))).alias("conflict"))
+
+
+def status(changes: DataFrame, working: DataFrame, seen: set[int]) -> DataFrame:
+    """(key, kind) of a working view ``(key, value)`` against a commit: what a commit would hold; empty means clean."""
+    head = view_at(changes, seen).withColumnRenamed("value", "before")
+    both = head.join(working.select("key", F.col("value").alias("after")), "key", "full_outer")
+    kind = F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "deleted").otherwise("modified")
+    return both.where(~F.col("before").eqNullSafe(F.col("after"))).select("key", kind.alias("kind"), "after")
+
+
+def commit(changes: DataFrame, working: DataFrame, seen: set[int], seq: int, allow_empty: bool = False) -> DataFrame:
+    """The change rows (seq, key, value) of a new commit; an empty one is an error unless allowed."""
+    rows = status(changes, working, seen).select(F.lit(seq).cast("bigint").alias("seq"), "key", F.col("after").alias("value"))
+    if not allow_empty and rows.isEmpty():
+        raise ValueError("nothing to commit")
+    return rows
+
+
+def restore(working: DataFrame, changes: DataFrame, seen: set[int], keys: list[str]) -> DataFrame:
+    """The working view with some keys as they were at a commit (absent then: gone now)."""
+    old = view_at(changes, seen).where(F.col("key").isin(keys)).select("key", "value")
+    return working.where(~F.col("key").isin(keys)).select("key", "value").unionByName(old)
+
+
+def apply_batch(view: DataFrame, batch: DataFrame, watched: dict[str, int]) -> DataFrame | None:
+    """Optimistic transaction over ``view(key, value, ts)``: None where a watched key's version moved, else the new view.
+
+    ``batch(key, value, ts)`` is applied whole; a null value deletes.
+    """
+    spark = view.sparkSession
+    if watched:
+        asked = spark.createDataFrame(list(watched.items()), "key string, expected bigint")
+        moved = asked.join(view, "key", "left").where(F.coalesce("ts", F.lit(0)) != F.col("expected"))
+        if not moved.isEmpty():
+            return None
+    last = batch.groupBy("key").agg(F.max_by(F.struct("value"), "ts").alias("v"), F.max("ts").alias("ts"))
+    new = last.select("key", "v.value", "ts")
+    return view.select("key", "value", "ts").join(new, "key", "left_anti").unionByName(new.where("value is not null"))

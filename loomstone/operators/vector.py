@@ -185,3 +185,15 @@ def ivf_topk(vectors: DataFrame, centroids: np.ndarray, query: Sequence[float],
     q = np.asarray(query, float)
     chosen = np.argsort(-(centroids @ (q / max(np.linalg.norm(q), 1e-12))), kind="stable")[:probes].tolist()
     return topk(vectors.withColumn("cell", F.array_position(near, F.array_max(near)) - 1), query, k, F.col("cell").isin(chosen))
+
+
+def calibrate(vectors: DataFrame, centroids: np.ndarray, queries: Sequence[Sequence[float]], k: int, target: float = 0.92) -> int:
+    """The least number of probes whose mean recall against exact search reaches the target; all cells if none does."""
+    exact = [{r["id"] for r in topk(vectors, q, k).collect()} for q in queries]
+    probes = 1
+    while probes < len(centroids):
+        hits = [len(e & {r["id"] for r in ivf_topk(vectors, centroids, q, k, probes).collect()}) for q, e in zip(queries, exact, strict=True)]
+        if sum(hits) >= target * sum(map(len, exact)):
+            return probes
+        probes *= 2
+    return len(centroids)

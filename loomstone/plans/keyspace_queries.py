@@ -129,6 +129,39 @@ def list_trim(s, d):
     return K.list_range(_list(s, d), 10, 19).select("key", (F.col("pos") - 10).cast("bigint").alias("pos"), "value")
 
 
+def list_set(s, d):
+    return K.list_set(_list(s, d), -2, F.lit(-1)).where("value = -1").select("key", BIG("pos"))
+
+
+def list_insert(s, d):
+    return K.list_insert(_list(s, d), F.lit(7), F.lit(-5).cast("bigint")).where("value = -5").select("key", BIG("pos"))
+
+
+def list_move(s, d):
+    return K.list_move(_list(s, d), "click", "error", True, False).groupBy("key").agg(F.count("*").alias("n"), F.max_by("value", "pos").alias("tail"))
+
+
+def key_rename(s, d):
+    view = table(s, d, "nation").select(F.col("n_name").alias("key"), F.col("n_nationkey").alias("value"))
+    first = view.agg(F.min("key").alias("a"), F.max("key").alias("b")).first()
+    return K.rename(view, first["a"], first["b"]).select("key", BIG("value"))
+
+
+def key_types(s, d):
+    rows = K.types({"zset": zset(s, d), "set": _sets(s, d), "string": table(s, d, "nation").select(F.col("n_name").alias("key"))})
+    return rows.groupBy("type").agg(F.count("*").alias("n"))
+
+
+def kv_msetnx(s, d):
+    current = table(s, d, "nation").select(F.col("n_name").alias("key"))
+    batch = table(s, d, "customer").select(F.col("c_mktsegment").alias("key"), F.col("c_custkey").alias("seq"), F.col("c_name").alias("value"))
+    return K.set_if_none_exist(current, batch)
+
+
+def set_random(s, d):
+    return K.random_members(_sets(s, d).distinct(), 3, seed=5)
+
+
 def list_fold(s, d):
     cmds = F.array(*[F.lit(x) for x in ("RPUSH", "LPUSH", "RPUSH", "LPOP", "LLEN", "RPOP")])
     log = _log(s, d).select("key", "seq", F.get(cmds, F.pmod("seq", F.lit(6)).cast("int")).alias("cmd"), F.col("user_id").cast("string").alias("value"))
@@ -257,6 +290,13 @@ QUERIES = {
     "list_find": (list_find, f"WITH {LISTS}, h AS (SELECT key, pos, row_number() OVER (PARTITION BY key ORDER BY pos DESC) AS r FROM l WHERE value = 7) SELECT key, pos FROM h WHERE r BETWEEN 2 AND 4"),
     "list_trim": (list_trim, f"WITH {LISTS} SELECT key, pos - 10 AS pos, value FROM l WHERE pos BETWEEN 10 AND 19"),
     "list_command_fold": (list_fold, None),
+    "list_set": (list_set, f"WITH {LISTS} SELECT key, count(*) - 2 AS pos FROM l GROUP BY key"),
+    "list_insert": (list_insert, f"WITH {LISTS} SELECT key, min(pos) AS pos FROM l WHERE value = 7 GROUP BY key"),
+    "list_move": (list_move, f"WITH {LISTS}, h AS (SELECT value FROM l WHERE key = 'click' AND pos = 0) SELECT key, count(*) + CASE key WHEN 'click' THEN -1 WHEN 'error' THEN 1 ELSE 0 END AS n, CASE WHEN key = 'error' THEN (SELECT value FROM h) ELSE arg_max(value, pos) END AS tail FROM l GROUP BY key"),
+    "key_rename": (key_rename, "SELECT CASE WHEN n_name = (SELECT min(n_name) FROM nation) THEN (SELECT max(n_name) FROM nation) ELSE n_name END AS key, n_nationkey::BIGINT AS value FROM nation WHERE n_name <> (SELECT max(n_name) FROM nation)"),
+    "key_types": (key_types, "SELECT 'zset' AS type, count(DISTINCT c_mktsegment) AS n FROM customer UNION ALL SELECT 'set', count(DISTINCT event_type) FROM events UNION ALL SELECT 'string', count(DISTINCT n_name) FROM nation"),
+    "kv_msetnx": (kv_msetnx, "SELECT c_mktsegment AS key, arg_max(c_name, c_custkey) AS value FROM customer GROUP BY 1"),
+    "set_random": (set_random, None),
     "set_union": (set_union, "SELECT DISTINCT user_id::VARCHAR AS member FROM events WHERE event_type IN ('click', 'error')"),
     "set_inter": (set_inter, "SELECT user_id::VARCHAR AS member FROM events WHERE event_type = 'click' INTERSECT SELECT user_id::VARCHAR FROM events WHERE event_type = 'error' INTERSECT SELECT user_id::VARCHAR FROM events WHERE event_type = 'signup'"),
     "set_diff": (set_diff, "SELECT user_id::VARCHAR AS member FROM events WHERE event_type = 'click' EXCEPT SELECT user_id::VARCHAR FROM events WHERE event_type = 'purchase'"),

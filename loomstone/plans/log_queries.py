@@ -103,6 +103,27 @@ def vcs_log(s, d):
     return changes.where(F.col("seq").isin(seen)).groupBy("seq").agg(F.count("*").alias("n"), F.count("value").alias("written")).orderBy(F.desc("seq"))
 
 
+def vcs_status(s, d):
+    commits, changes = _vcs(s, d)
+    working = table(s, d, "customer").where("c_custkey % 3 <> 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("key"), F.round(F.col("c_acctbal") + 1, 2).alias("value"))
+    return M.status(changes, working, M.ancestors(M.graph(commits), 5)).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def vcs_restore(s, d):
+    commits, changes = _vcs(s, d)
+    g = M.graph(commits)
+    rows = M.restore(M.view_at(changes, M.ancestors(g, 5)), changes, M.ancestors(g, 1), ["c2", "c12", "c24", "c9"])
+    return rows.agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+def transaction(s, d):
+    view = M.current(mutations(s, d))
+    key = view.agg(F.min("key").alias("k")).first()["k"]
+    ts = view.where(F.col("key") == key).first()["ts"]
+    batch = view.where("ts % 2 = 0").select("key", F.when(F.col("ts") % 4 == 0, F.col("value") + 1).alias("value"), (F.col("ts") + 1).alias("ts"))
+    return M.apply_batch(view, batch, {key: ts}).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
 # Streams -------------------------------------------------------------------------------------------------------------
 IDENT = "e AS (SELECT event_type AS key, epoch_us(ts) // 1000 AS id_ms, event_id AS id_seq, user_id, value FROM events)"
 
@@ -289,6 +310,9 @@ QUERIES = {
     "vcs_revert": (vcs_revert, f"WITH {VCS}, {AT.format(n='b', s='1, 2, 3')}, {AT.format(n='h', s='1, 2, 3, 4, 5')} SELECT c.key, b.value, h.value IS DISTINCT FROM c.value AS conflict FROM (SELECT * FROM ch WHERE seq = 4) c LEFT JOIN b USING (key) LEFT JOIN h USING (key)"),
     "vcs_history": (vcs_history, f"WITH {VCS} SELECT seq, value FROM ch WHERE key = 'c12' ORDER BY seq DESC LIMIT 4"),
     "vcs_log": (vcs_log, f"WITH {VCS} SELECT seq, count(*) AS n, count(value) AS written FROM ch WHERE seq IN (1, 2, 3, 6, 7) GROUP BY seq"),
+    "vcs_status": (vcs_status, f"WITH {VCS}, {AT.format(n='a', s='1, 2, 3, 4, 5')}, w AS (SELECT 'c' || c_custkey AS key, round(c_acctbal + 1, 2) AS value FROM customer WHERE c_custkey % 3 <> 0) SELECT CASE WHEN a.key IS NULL THEN 'added' WHEN w.key IS NULL THEN 'deleted' ELSE 'modified' END AS kind, count(*) AS n FROM a FULL JOIN w ON a.key = w.key WHERE a.value IS DISTINCT FROM w.value GROUP BY 1"),
+    "vcs_restore": (vcs_restore, f"WITH {VCS}, {AT.format(n='a', s='1, 2, 3, 4, 5')}, {AT.format(n='b', s='1')}, r AS (SELECT * FROM a WHERE key NOT IN ('c2', 'c12', 'c24', 'c9') UNION ALL SELECT * FROM b WHERE key IN ('c2', 'c12', 'c24', 'c9')) SELECT count(*) AS n, round(sum(value), 2) AS total FROM r"),
+    "transaction": (transaction, f"WITH {MUT}, c AS (SELECT key, ts, value FROM {LAST.format(w='')} WHERE r = 1 AND NOT gone) SELECT count(*) FILTER (ts % 2 = 1 OR ts % 4 = 0) AS n, round(sum(CASE WHEN ts % 2 = 1 THEN value WHEN ts % 4 = 0 THEN value + 1 END), 2) AS total FROM c"),
     "stream_add": (xadd, f"WITH {IDENT}, o AS (SELECT *, max(id_ms) OVER (PARTITION BY key ORDER BY id_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM e) SELECT key, count(*) AS n, count(*) FILTER (top IS NULL OR id_ms >= top) AS accepted FROM o GROUP BY key"),
     "stream_range": (xrange, f"WITH {IDENT} SELECT id_ms, id_seq, user_id FROM e WHERE key = 'click' AND id_ms >= 1704200000000 AND id_ms <= 1704400000000 ORDER BY 1, 2 LIMIT 50"),
     "stream_revrange": (xrevrange, f"WITH {IDENT} SELECT id_ms, id_seq, user_id FROM e WHERE key = 'view' ORDER BY 1 DESC, 2 DESC LIMIT 25"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomstone.functions import payload
 from loomstone.functions import vectors as V
-from loomstone.operators import vector
+from loomstone.operators import quantize, vector
 
 from .tables import query_vector, table, vectors
 
@@ -114,6 +114,16 @@ def ivf(s, d):
     return vector.ivf_topk(v, vector.ivf_fit(v, 16), query_vector(s, d), 10, 8).select("id", R6("dist"))
 
 
+def product_codes(s, d):
+    v = vectors(s, d)
+    return quantize.coded_topk(v, query_vector(s, d), 10, quantize.Product.fit(quantize.sampled(v, 5000))).select("id", R6("dist"))
+
+
+def rotated_codes(s, d):
+    v = vectors(s, d)
+    return quantize.coded_topk(v, query_vector(s, d), 10, quantize.Rotated.fit(quantize.sampled(v, 5000))).select("id", R6("dist"))
+
+
 def entropy(s, d):
     return vectors(s, d).select("id", F.round(V.softmax_entropy("embedding"), 6).alias("entropy"))
 
@@ -145,6 +155,8 @@ QUERIES = {
     "row_vector_join_topk": (join_topk, DIST + ' SELECT d.id, round(dist, 6) AS dist FROM d JOIN customer c ON c.c_custkey = d.id WHERE c.c_mktsegment = \'BUILDING\' ORDER BY d.dist, d.id LIMIT 10'),
     "rank_fusion": (fused_lists, "WITH x AS (SELECT a.vec_id AS q, b.vec_id AS id, greatest(0.0, least(2.0, 1 - list_cosine_similarity(b.embedding::DOUBLE[], a.embedding::DOUBLE[]))) AS dist FROM embeddings a, embeddings b WHERE a.vec_id IN (0, 1)), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dist, id) - 1 AS r FROM x), f AS (SELECT id, sum(1.0::DOUBLE / (r + 61)) AS score FROM r WHERE r < 50 GROUP BY id) SELECT id, round(score, 6) AS score FROM f ORDER BY round(f.score, 12) DESC, id LIMIT 10"),
     "vector_ivf": (ivf, None),
+    "vector_product_codes": (product_codes, None),
+    "vector_rotated_codes": (rotated_codes, None),
     "vector_softmax_entropy": (entropy, "WITH u AS (SELECT vec_id AS id, unnest(embedding)::DOUBLE AS x FROM embeddings), e AS (SELECT id, exp(x) AS e FROM u), z AS (SELECT id, sum(e) AS z FROM e GROUP BY id) SELECT id, round(sum(-e / z * ln(e / z)), 6) AS entropy FROM e JOIN z USING (id) GROUP BY id"),
     "attr_selectivity": (selectivity, "SELECT label::BIGINT AS attr, count(*) AS n, round(count(*)::DOUBLE / (SELECT count(*) FROM embeddings), 6) AS share FROM embeddings GROUP BY label"),
 }

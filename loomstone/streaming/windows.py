@@ -21,3 +21,9 @@ def change_feed(log: DataFrame, prefixes: list[str]) -> DataFrame:
     """Events of a streamed log, one for each prefix that the key has."""
     hit = F.filter(F.array(*[F.lit(p) for p in prefixes]), lambda p: F.startswith(F.col("key"), p))
     return log.withColumn("prefix", F.explode(hit))
+
+
+def expiring(rows: DataFrame, late: str) -> DataFrame:
+    """The last value of each key whose deadline ``ts`` the watermark has not passed; the state of others is dropped."""
+    fresh = rows.withWatermark("ts", late).groupBy(F.window("ts", "1 hour"), "key").agg(F.max_by("value", "ts").alias("value"), F.max("ts").alias("expires"))
+    return fresh.select("key", "value", "expires")

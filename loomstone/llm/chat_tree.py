@@ -253,5 +253,5 @@ def op3_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = tokens.public("byte_bpe_50k.json")
     nodes, members = tree(rows, vocabulary, s)
     nodes = s.table(nodes, "tree")
-    return s.result(read_back(nodes, members, vocabulary), "chats")
+    return s.result(read_back(nodes, members, vocabulary).drop("n_tokens", "shared_tokens"), "chats")
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from loomstone.functions import text as T
 from loomstone.functions import vectors as V
+from loomstone.sources import scratch
 
 from . import vector
 
@@ -100,14 +101,15 @@ def neighbours(edges: DataFrame, node: str, relation: str | None = None, incomin
 
 
 def traverse(edges: DataFrame, start: str, depth: int, relation: str | None = None) -> DataFrame:
-    """(id, depth): nodes within ``depth`` steps, each at its least depth; one join a step, lineage cut by checkpoints."""
+    """(id, depth): nodes within ``depth`` steps, each at its least depth; one join a step, whose result is written so that no plan grows."""
     rows = edges if relation is None else edges.where(F.col("rel") == relation)
     rows = rows.select("src", "dst").distinct()
     seen = edges.sparkSession.createDataFrame([(start, 0)], "id string, depth int")
     frontier = seen
     for d in range(1, depth + 1):
         step = frontier.join(rows, frontier["id"] == rows["src"]).select(F.col("dst").alias("id")).distinct()
-        frontier = step.join(seen, "id", "left_anti").withColumn("depth", F.lit(d)).checkpoint()
+        step.join(seen, "id", "left_anti").withColumn("depth", F.lit(d)).write.parquet(path := scratch.folder(edges.sparkSession, "frontier"))
+        frontier = edges.sparkSession.read.schema("id string, depth int").parquet(path)
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)

@@ -176,6 +176,120 @@ def _push(left: bool) -> Callable[..., Store]:
     return run
 
 
+def _replace(s: Store, name: str, gone, *new: DataFrame) -> Store:
+    """The table without the rows of a predicate and with the new rows."""
+    out = s.table(name).where(~gone)
+    for df in new:
+        out = out.unionByName(df.select(*[F.col(c).cast(t).alias(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in out.dtypes]))
+    return s.changed(name, out)
+
+
+def _vadd(s: Store, ident, *numbers, ns: str = "") -> Store:
+    """VADD: the category comes from the vector; its dimension must be that of the vectors there."""
+    from loomstone.functions import vectors as V
+
+    x, rows = _floats(numbers), s.table("vectors")
+    first = rows.first()
+    if first is not None and len(first["embedding"]) != len(x):
+        raise CommandError("dimension")
+    new = s.values([(int(ident), x, ns)], "id bigint, embedding array<float>, ns string").withColumn("attr", V.category("embedding"))
+    gone = F.col("id") == int(ident)
+    return _replace(s, "vectors", gone & (F.col("ns") == ns) if "ns" in rows.columns else gone, new)
+
+
+def _zincrby(s: Store, key, by, member) -> Store:
+    old = s.of("zset", key).where(F.col("member") == member).first()
+    return COMMANDS["ZADD"](s, key, (old["score"] if old else 0.0) + float(by), member)
+
+
+def _incrby(s: Store, key, by=1) -> Store:
+    old = s.of("kv", key).first()
+    if old is not None and str(old["value"]) != str(int(old["value"]) if str(old["value"]).lstrip("-").isdigit() else ""):
+        raise CommandError("not an integer")
+    total = int(old["value"] if old else 0) + int(by)
+    if not -(2**63) <= total < 2**63:
+        raise CommandError("overflow")
+    new = s.values([(key, str(total), old["expire_at"] if old and "expire_at" in old else None)], "key string, value string, expire_at bigint")
+    return _replace(s, "kv", F.col("key") == key, new)
+
+
+def _expire(s: Store, key, seconds, flag: str | None = None) -> Store:
+    """EXPIRE: a deadline that is past deletes the key."""
+    at = F.lit(s.now + 1000 * int(seconds))
+    kv = s.table("kv")
+    hit = (F.col("key") == key) & K.expire_allowed(F.col("expire_at"), at, flag and flag.upper())
+    return s.changed("kv", K.live(kv.withColumn("expire_at", F.when(hit, at).otherwise(F.col("expire_at"))), s.now))
+
+
+def _store(op: str) -> Callable[..., Store]:
+    """S...STORE: the result takes the place of the target; an empty one removes it."""
+    return lambda s, target, *keys: _replace(s, "set", F.col("key") == target, K.set_algebra(s.table("set"), op, list(keys)).withColumn("key", F.lit(target)))
+
+
+def _zremove(pick: Callable) -> Callable[..., Store]:
+    def run(s: Store, key, a, b) -> Store:
+        gone = pick(s.of("zset", key), a, b).select("key", "member")
+        return s.changed("zset", s.table("zset").join(gone, ["key", "member"], "left_anti"))
+
+    return run
+
+
+def _lex(rows: DataFrame, a: str, b: str) -> DataFrame:
+    return rows.where(K.lex_bound(F.col("member"), a, True) & K.lex_bound(F.col("member"), b, False))
+
+
+def _zpop(largest: bool) -> Callable[..., Store]:
+    def run(s: Store, key, n=1) -> Store:
+        gone = K.zpop(s.of("zset", key), int(n), largest)[0].select("key", "member")
+        return s.changed("zset", s.table("zset").join(gone, ["key", "member"], "left_anti"))
+
+    return run
+
+
+def _pop(left: bool) -> Callable[..., Store]:
+    def run(s: Store, key, n=1) -> Store:
+        kept = K.list_range(s.of("list", key), int(n), -1) if left else K.list_range(s.of("list", key), 0, -1 - int(n))
+        return _replace(s, "list", F.col("key") == key, K.numbered(kept.withColumnRenamed("pos", "_o"), "_o"))
+
+    return run
+
+
+def _list_edit(edit: Callable[..., DataFrame]) -> Callable[..., Store]:
+    return lambda s, key, *a: _replace(s, "list", F.col("key") == key, edit(s.of("list", key), *a))
+
+
+def _xadd(s: Store, key, ident: str, **fields) -> Store:
+    """XADD: an id that is not above the last one is an error; ``*`` is the time or one above the last."""
+    last = s.of("stream", key).agg(F.max(F.struct("id_ms", "id_seq")).alias("m")).first()["m"]
+    if ident == "*":
+        ms, seq = (s.now, 0) if last is None or last["id_ms"] < s.now else (last["id_ms"], last["id_seq"] + 1)
+    else:
+        ms, seq, _ = streams.parse_id(ident, True)
+    if last is not None and (ms, seq) <= tuple(last):
+        raise CommandError("id is not above the last one")
+    return _replace(s, "stream", F.lit(False), s.values([(key, ms, seq, *fields.values())], ", ".join(["key string, id_ms bigint, id_seq bigint", *(f"{f} string" for f in fields)])))
+
+
+def _tsadd(s: Store, series, ts, value) -> Store:
+    seq = s.table("ts").where(F.col("series") == series).agg(F.coalesce(F.max("seq") + 1, F.lit(0)).alias("n")).first()["n"]
+    return _replace(s, "ts", F.lit(False), s.values([(series, int(ts), int(seq), float(value))], "series string, ts bigint, seq bigint, value double"))
+
+
+def _remember(s: Store, owner, text, source, salience, *numbers, valid_from: int = 0, valid_to: int = 0) -> Store:
+    ident = s.table("ltm").agg(F.coalesce(F.max("id") + 1, F.lit(1)).alias("n")).first()["n"]
+    new = s.values([(int(ident), text, _floats(numbers), source, float(salience), owner, valid_from, valid_to)], "id bigint, text string, embedding array<float>, source string, salience double, owner string, valid_from bigint, valid_to bigint")
+    return _replace(s, "ltm", F.lit(False), new)
+
+
+def _link(s: Store, a, rel, b, weight=1.0) -> Store:
+    here = (F.col("src") == a) & (F.col("rel") == rel) & (F.col("dst") == b)
+    return _replace(s, "edges", here, s.values([(a, rel, b, float(weight))], "src string, rel string, dst string, weight double"))
+
+
+def _owned(change: Callable, kind: str) -> Callable[..., Store]:
+    return lambda s, *row: s.changed("ltm", change(s.table("ltm"), s.values([row], kind)).select(s.table("ltm").columns))
+
+
 COMMANDS: dict[str, Callable] = {
     # strings and keys
     "GET": lambda s, key: _live(s).where(F.col("key") == key).select("value"),
@@ -257,4 +371,26 @@ COMMANDS: dict[str, Callable] = {
     "SCANRANGE": lambda s, a, b: mutations.scan_range(mutations.current(s.table("log")), a, b),
     "TABLE.SCAN": lambda s, name: s.table("rows").where(F.col("table") == name).select("pk", "cols").orderBy("pk"),
     "TABLE.FILTEREQ": lambda s, name, column, value: s.table("rows").where((F.col("table") == name) & (F.col("cols")[column] == value)).select("pk", "cols").orderBy("pk"),
+    # more writes
+    "INCRBY": _incrby, "INCR": _incrby, "DECRBY": lambda s, key, by=1: _incrby(s, key, -int(by)), "EXPIRE": _expire,
+    "PERSIST": lambda s, key: s.changed("kv", s.table("kv").withColumn("expire_at", F.when(F.col("key") != key, F.col("expire_at")))),
+    "APPEND": lambda s, key, more: s.changed("kv", s.table("kv").withColumn("value", F.when(F.col("key") == key, F.concat("value", F.lit(more))).otherwise(F.col("value")))) if not s.of("kv", key).isEmpty() else _set(s, key, more),
+    "HINCRBY": lambda s, key, field, by: COMMANDS["HSET"](s, key, field, str(int((s.of("hash", key).where(F.col("field") == field).first() or {"value": 0})["value"]) + int(by))),
+    "LPOP": _pop(True), "RPOP": _pop(False), "LSET": _list_edit(lambda rows, i, v: K.list_set(rows, int(i), F.lit(v))),
+    "LINSERT": _list_edit(lambda rows, where, pivot, v: K.list_insert(rows, F.lit(pivot), F.lit(v), where.upper() == "BEFORE")),
+    "SUNIONSTORE": _store("union"), "SINTERSTORE": _store("inter"), "SDIFFSTORE": _store("diff"),
+    "SMOVE": lambda s, a, b, m: COMMANDS["SADD"](COMMANDS["SREM"](s, a, m), b, m) if not s.of("set", a).where(F.col("member") == m).isEmpty() else s,
+    "ZINCRBY": _zincrby, "ZPOPMIN": _zpop(False), "ZPOPMAX": _zpop(True), "ZREMRANGEBYLEX": _zremove(_lex),
+    "ZREMRANGEBYSCORE": _zremove(lambda rows, a, b: K.zrange_by_score(rows, str(a), str(b))), "ZREMRANGEBYRANK": _zremove(lambda rows, a, b: K.zrange(rows, int(a), int(b))),
+    "XADD": _xadd, "XDEL": lambda s, key, *ids: s.changed("stream", s.table("stream").where(~((F.col("key") == key) & F.concat_ws("-", "id_ms", "id_seq").isin(list(ids))))),
+    "XTRIM": lambda s, key, how, n: _replace(s, "stream", F.col("key") == key, streams.xtrim(s.of("stream", key), **({"maxlen": int(n)} if how.upper() == "MAXLEN" else {"minid": str(n)}))),
+    "TSADD": _tsadd,
+    "VADD": _vadd, "VADDNS": lambda s, ns, ident, *numbers: _vadd(s, ident, *numbers, ns=ns),
+    "VDEL": lambda s, *ids: s.changed("vectors", s.table("vectors").where(~F.col("id").isin([int(i) for i in ids]))),
+    "VSETPAYLOAD": lambda s, i, doc: _replace(s, "payload", F.col("id") == int(i), s.values([(int(i), doc)], "id bigint, doc string")),
+    "VDELPAYLOAD": lambda s, i: s.changed("payload", s.table("payload").where(F.col("id") != int(i))),
+    "MEM.REMEMBER": _remember, "RAG.INGEST": lambda s, owner, text, source, *numbers: _remember(s, owner, text, source, 0.5, *numbers),
+    "MEM.LINK": _link, "MEM.UNLINK": lambda s, a, rel, b: s.changed("edges", s.table("edges").where(~((F.col("src") == a) & (F.col("rel") == rel) & (F.col("dst") == b)))),
+    "MEM.INVALIDATE": _owned(memory.invalidate, "id bigint, owner string, at bigint"), "MEM.FORGET": _owned(memory.forget, "id bigint, owner string"), "MEM.CONSOLIDATE": _owned(memory.consolidate, "id bigint, delta double"),
+    "TABLE.UPSERT": lambda s, name, pk, cols: _replace(s, "rows", (F.col("table") == name) & (F.col("pk") == pk), s.values([(name, pk, cols)], "table string, pk string, cols map<string,string>")),
 }

@@ -68,3 +68,40 @@ def test_writes_give_a_new_store(store):
     assert ask(store, "GET", "a") == [("one",)] and ask(store, "LLEN", "l") == [(5,)]
     with pytest.raises(CommandError):
         store.execute("NOPE")
+
+
+def test_more_writes(store):
+    run = lambda *c: store.execute(*c)
+    assert ask(run("INCRBY", "n", 5).execute("INCRBY", "n", -7), "GET", "n") == [("-2",)]
+    with pytest.raises(CommandError):
+        run("INCRBY", "a", 1)
+    assert ask(run("APPEND", "a", "!"), "GET", "a") == [("one!",)] and ask(run("APPEND", "q", "!"), "GET", "q") == [("!",)]
+    assert ask(run("EXPIRE", "a", 3), "TTL", "a") == [(3,)] and ask(run("EXPIRE", "a", 3, "XX"), "TTL", "a") == [(-1,)] and ask(run("EXPIRE", "a", -3), "EXISTS", "a") == [(0,)]
+    assert ask(run("PERSIST", "c"), "TTL", "c") == [(-1,)] and ask(run("HINCRBY", "h", "x", 4), "HGET", "h", "x") == [("5",)]
+    text = lambda s: "".join(r[0] for r in ask(s, "LRANGE", "l", 0, -1))
+    assert text(run("LPOP", "l", 2)) == "cab" and text(run("RPOP", "l")) == "abca" and text(run("LSET", "l", -1, "z")) == "abcaz" and text(run("LINSERT", "l", "AFTER", "b", "n")) == "abncab"
+    assert text(run("LTRIM", "l", 1, 2)) == "bc" and text(run("LMOVE", "l", "l", "LEFT", "RIGHT")) == "bcaba"
+    assert ask(run("SUNIONSTORE", "s", "s", "t"), "SCARD", "s") == [(3,)] and ask(run("SINTERSTORE", "s", "s", "none"), "SCARD", "s") == [(0,)] and ask(run("SMOVE", "s", "t", "1"), "SCARD", "t") == [(3,)]
+    names = lambda s: "".join(r[1] for r in ask(s, "ZRANGE", "z", 0, -1))
+    assert names(run("ZINCRBY", "z", 2.5, "a")) == "bcade" and names(run("ZPOPMAX", "z", 2)) == "abc" and names(run("ZREMRANGEBYRANK", "z", 1, -2)) == "ae"
+    assert names(run("ZREMRANGEBYSCORE", "z", "(1", "3")) == "abe" and names(run("ZREMRANGEBYLEX", "z", "-", "(c")) == "cde"
+    assert ask(run("XADD", "x", "8-1"), "XREVRANGE", "x", "+", "-", 1) == [("x", 8, 1)] and ask(run("XADD", "x", "*"), "XLEN", "x") == [(4,)]
+    with pytest.raises(CommandError):
+        run("XADD", "x", "7-0")
+    assert ask(run("XDEL", "x", "5-1"), "XLEN", "x") == [(2,)] and ask(run("XTRIM", "x", "MAXLEN", 1), "XRANGE", "x", "-", "+") == [("x", 7, 0)]
+    assert ask(run("TSADD", "cpu", 50, 1), "TSRANGE", "cpu", 0, 60) == [(50, 1.0)]
+
+
+def test_vector_and_memory_writes(store):
+    run = lambda *c: store.execute(*c)
+    assert [r[0] for r in ask(run("VADDNS", "n", 9, "1 0.01"), "VSEARCHNS", "n", 2, 1, 0)] == [1, 9] and [r[0] for r in ask(run("VDEL", 1), "VSEARCH", 1, 1, 0)] == [2]
+    with pytest.raises(CommandError):
+        run("VADD", 4, 1, 2, 3)
+    assert ask(run("VSETPAYLOAD", 3, '{"c": "x"}'), "VFACET", "c") == [("x", 2), ("y", 1)]
+    new = run("MEM.REMEMBER", "al", "rust again", "doc", 0.9, 1, 0)
+    assert [r[0] for r in ask(new, "MEM.RECALL", "AGENT", "al", 3, "rust", 1, 0)] == [3, 1]
+    assert [r[0] for r in ask(new.execute("MEM.INVALIDATE", 3, "al", 50), "MEM.RECALL", "AGENT", "al", 3, "rust", 1, 0)] == [1]
+    assert ask(new.execute("MEM.FORGET", 3, "bo"), "MEM.COUNT") == [(3,)] and ask(new.execute("MEM.FORGET", 3, "al"), "MEM.COUNT") == [(2,)]
+    assert ask(new.execute("MEM.CONSOLIDATE", 3, 0.9), "MEM.GET", 3) == [("rust again", "doc", 1.0)]
+    assert len(ask(run("MEM.LINK", "a", "r", "z", 2.0), "MEM.NEIGH", "a")) == 2 and ask(run("MEM.UNLINK", "a", "r", "b"), "MEM.NEIGH", "a") == []
+    assert len(ask(run("TABLE.UPSERT", "users", "2", {"tier": "pro"}), "TABLE.FILTEREQ", "users", "tier", "pro")) == 3

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from . import common, words
 from .words import U64
 
-LABELLED, POOL, FEATURES = 12_000, 6_000, 4096
+LABELLED, POOL, FEATURES = 8_000, 4_000, 4096
 #: Least chi-square of a feature of the content and of the metadata view.
 CHI_SQUARE = (20, 4)
 ROUNDS, CONFIDENT, ADDED, REJECT = 3, 0.98, 1000, 0.5

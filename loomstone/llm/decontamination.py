@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from . import common, words
 
@@ -254,29 +255,44 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, most: float =
 
     A row goes when more than the share ``most`` of its words was hit. Rows without a hit stay as they are.
     """
-    spark, schema = docs.sparkSession, docs.schema
+    schema = docs.schema
+    # The row travels as one struct, so no name of its columns can clash; marks are of the uncut text in every block.
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = docs.select(row, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.lit(None).cast("array<int>").alias("marked"))
+    kinds = StructType([StructField("row", schema), StructField("text", StringType()), StructField("marked", ArrayType(IntegerType()))])
     for a in automata(items, window, block_words):
-        held = spark.sparkContext.broadcast(a)
+        held = docs.sparkSession.sparkContext.broadcast(a)
 
-        def cut(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+        def mark(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             a = held.value
             for batch in common.slices(batches, "text"):
-                w = words.scan(batch.column("text"))
-                first = w.bounds()
-                new = {}
-                for doc, marked, _ in a.hits(w, _Texts(batch.column("text"))):
-                    if len(marked) > most * (first[doc + 1] - first[doc]):
-                        new[doc] = None
-                        continue
-                    raw, at, kept = batch.column("text")[doc].as_py().encode(), 0, []
-                    for lo, hi in runs(marked):
-                        kept.append(raw[at : w.start[first[doc] + lo]])
-                        at = w.end[first[doc] + hi - 1]
-                    new[doc] = b"".join([*kept, raw[at:]]).decode()
-                yield replaced(batch, new)
-
-        docs = docs.mapInArrow(cut, schema)
-    return docs
+                marked = batch.column("marked").to_pylist()
+                for doc, ms, _ in a.hits(words.scan(batch.column("text")), _Texts(batch.column("text"))):
+                    marked[doc] = sorted({*(marked[doc] or ()), *ms})
+                yield pa.record_batch([batch.column("row"), batch.column("text"), pa.array(marked, pa.list_(pa.int32()))], names=["row", "text", "marked"])
+
+        rows = rows.mapInArrow(mark, kinds)
+    columns = docs.columns
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, "text"):
+            own = pa.RecordBatch.from_arrays(batch.column("row").flatten(), names=columns)
+            new = {}
+            for doc, marked in enumerate(batch.column("marked").to_pylist()):
+                if not marked:
+                    continue
+                w = words.scan(batch.column("text").slice(doc, 1))
+                if len(marked) > most * len(w.hash):
+                    new[doc] = None
+                    continue
+                raw, at, kept = batch.column("text")[doc].as_py().encode(), 0, []
+                for lo, hi in runs(marked):
+                    kept.append(raw[at : w.start[lo]])
+                    at = w.end[hi - 1]
+                new[doc] = b"".join([*kept, raw[at:]]).decode()
+            yield replaced(own, new)
+
+    return rows.mapInArrow(cut, schema)
 
 
 def runs(marked: list[int]) -> Iterator[tuple[int, int]]:

@@ -79,3 +79,13 @@ def test_empty_tables(spark):
     assert dc.find(helpers.empty(spark), items).count() == 0
     assert dc.report(dc.find(docs, items.limit(0))).where("n_hit > 0 or contaminated").count() == 0
     assert dc.clean(docs, items.limit(0)).count() == len(rows)
+
+
+def test_clean_does_not_depend_on_blocks(spark):
+    b = helpers.prose(60, 26).split()
+    x, y = helpers.prose(61, 30), helpers.prose(62, 30)
+    items = spark.createDataFrame([(1, " ".join(b[6:19])), (2, " ".join(b)), (3, x), (4, y)], "item_id bigint, text string")
+    texts = [f"{helpers.prose(63, 60)} {' '.join(b)} {helpers.prose(64, 60)}", f"{x} {helpers.prose(65, 40)} {y}", f"{' '.join(b[:6])} {x} {' '.join(b[6:])} {helpers.prose(66, 90)}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    one, many = ({r["doc_id"]: r["text"] for r in dc.clean(docs, items, block_words=n).collect()} for n in (dc.BLOCK_WORDS, 14))
+    assert one == many and set(one) == {0, 2} and not set(b) & set(one[0].split()) - set(helpers.prose(63, 60).split()) - set(helpers.prose(64, 60).split())

@@ -174,7 +174,8 @@ def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("frames="), F.col("frames")),
         F.concat(F.lit("segments="), F.size("spans")),
         F.concat(F.lit("voiced="), F.round(F.aggregate("spans", F.lit(0.0), lambda a, x: a + x.end - x.start), 3)),
-        F.concat(F.lit("mel="), F.array_join(F.transform(F.slice("tensor", 1, MELS), lambda x: F.format_number(x, 1)), ",")),
+        F.concat(F.lit("mel="), F.array_join(F.transform("tensor", lambda x: F.format_number(x, 1)), ",")),
+        F.concat(F.lit("spans="), F.array_join(F.transform("spans", lambda x: F.concat_ws("-", x.start.cast("string"), x.end.cast("string"))), ",")),
     )
     out = rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", digest.alias("feature"))
     return s.result(out, "audio")

@@ -75,3 +75,11 @@ def test_fixed_shape_tensor(spark, tmp_path):
     assert tensor.to_numpy_ndarray().shape == (t.num_rows, media.BINS, media.MELS) and isinstance(tensor.type, pa.FixedShapeTensorType)
     media.store(helpers.empty(spark), "doc_id", "text", f"{tmp_path}/e")
     assert media.features(spark, f"{tmp_path}/e", "doc_id").count() == 0
+
+
+def test_feature_tells_recordings_apart_after_the_first_eighth(spark, tmp_path):
+    head = helpers.prose(1, 1500)
+    rows = [(k, f"{head} {tail}") for k, tail in enumerate(("ka lo " * 3000, "zz yy " * 3000))]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    mels = [dict(x.split("=") for x in r["feature"].split(";"))["mel"] for r in media.op10_audio_features(spark, str(tmp_path)).collect()]
+    assert len({*mels}) == 2 and all(len(x.split(",")) == media.BINS * media.MELS for x in mels)

@@ -48,6 +48,11 @@ class Product(NamedTuple):
         parts = np.split(x, len(self.books), axis=1)
         return np.stack([((p[:, None] - c) ** 2).sum(2).argmin(1) for p, c in zip(parts, self.books, strict=True)], 1).astype(np.uint8)
 
+    def decoded(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The coded vectors and the lengths of their residuals."""
+        y = self.books[np.arange(len(self.books)), self.encode(x)].reshape(len(x), -1)
+        return y, np.linalg.norm(x - y, axis=1)
+
     def scores(self, codes: np.ndarray, query: np.ndarray) -> np.ndarray:
         """Inner products of a query with the coded vectors, by one table look-up a part."""
         table = np.einsum("pcd,pd->pc", self.books, query.reshape(len(self.books), -1))
@@ -83,6 +88,12 @@ class Rotated(NamedTuple):
         x = np.pad(x, ((0, 0), (0, len(self.signs) - x.shape[1])))
         return (x * self.signs) @ hadamard(len(self.signs))
 
+    def decoded(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The coded vectors, rotated back, and the lengths of their residuals."""
+        y = self.rotate(x)
+        coded = self.levels[np.searchsorted((self.levels[1:] + self.levels[:-1]) / 2, y)]
+        return ((coded @ hadamard(len(self.signs))) * self.signs)[:, : x.shape[1]], np.linalg.norm(y - coded, axis=1)
+
     def scores(self, x: np.ndarray, query: np.ndarray) -> np.ndarray:
         """Estimated inner products: the levels' part, and the residual's by its projected signs and length."""
         y, q = self.rotate(x), self.rotate(query[None])[0]
@@ -114,3 +125,21 @@ def coded_topk(vectors: DataFrame, query: Sequence[float], k: int, codec: Produc
 
     best = vectors.select(F.col("id").cast("bigint").alias("id"), "embedding").mapInArrow(score, "id bigint, score double").orderBy(F.desc("score"), "id").limit(rerank * k)
     return vector.topk(vectors.join(best.select("id"), "id"), query, k)
+
+
+def coded_batch(vectors: DataFrame, queries: DataFrame, k: int, codec: Product | Rotated) -> DataFrame:
+    """The k nearest of each of ``queries(qid, embedding)``: qid, id, dist, rank (from 1), as by exact search.
+
+    Codes skip only what cannot be among them: an inner product differs from that of the coded vector by the length of
+    the residual at most. The rest is ranked by exact distance where it is read.
+    """
+    from . import vector
+
+    def keep(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+        coded, rest = codec.decoded(x)
+        est, slack = q @ coded.T, rest + 1e-9
+        low = est - slack
+        floor = np.partition(low, -k, axis=1)[:, -k][:, None] if len(x) > k else np.full((len(q), 1), -np.inf)
+        return est + slack >= floor
+
+    return vector.batch_topk(vectors, queries, k, keep=keep)

@@ -39,8 +39,11 @@ def radius(vectors: DataFrame, query: Sequence[float], k: int, most: float) -> D
     return rows.orderBy("dist", "id").limit(k)
 
 
-def batch_topk(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", skip_self: bool = False) -> DataFrame:
-    """``queries(qid, embedding)`` against all vectors: qid, id, dist, rank (from 1)."""
+def batch_topk(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", skip_self: bool = False, keep=None) -> DataFrame:
+    """``queries(qid, embedding)`` against all vectors: qid, id, dist, rank (from 1).
+
+    ``keep(unit vectors, unit queries)`` says which vectors are candidates of which query, all where it is None.
+    """
     spark, best = vectors.sparkSession, None
     block: list = []
 
@@ -59,12 +62,15 @@ def batch_topk(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "co
                 v = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(col), -1)
                 if metric == "cosine":
                     n = np.linalg.norm(v, axis=1, keepdims=True)
-                    d = np.clip(1 - q @ (v / np.where(n > 0, n, 1)).T, 0, 2)
+                    v = v / np.where(n > 0, n, 1)
+                    d = np.clip(1 - q @ v.T, 0, 2)
                 else:
                     d = np.sqrt(np.maximum(0, (q**2).sum(1)[:, None] + (v**2).sum(1) - 2 * q @ v.T))
                 own = np.broadcast_to(batch.column("id").to_numpy(zero_copy_only=False), d.shape)
                 if skip_self:
                     d = np.where(own == ids[:, None], np.inf, d)
+                if keep is not None:
+                    d = np.where(keep(v, q), d, np.inf)
                 kept_id, kept_d = np.concatenate([kept_id, own], 1), np.concatenate([kept_d, d], 1)
                 order = np.lexsort((kept_id, np.round(kept_d, 12)), axis=1)[:, :k]
                 kept_id, kept_d = np.take_along_axis(kept_id, order, 1), np.take_along_axis(kept_d, order, 1)
@@ -197,3 +203,24 @@ def calibrate(vectors: DataFrame, centroids: np.ndarray, queries: Sequence[Seque
             return probes
         probes *= 2
     return len(centroids)
+
+
+def ivf_batch(vectors: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int, probes: int) -> DataFrame:
+    """``ivf_topk`` of each of ``queries(qid, embedding)``: qid, id, dist, rank (from 1)."""
+
+    def keep(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+        chosen = np.zeros((len(q), len(centroids)), bool)
+        np.put_along_axis(chosen, np.argsort(-(q @ centroids.T), axis=1, kind="stable")[:, :probes], True, 1)
+        return chosen[:, (x @ centroids.T).argmax(1)]
+
+    return batch_topk(vectors, queries, k, keep=keep)
+
+
+def calibrate_batch(vectors: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int, target: float = 0.92) -> int:
+    """The least power of two of probes whose recall over all queries reaches the target, else all cells."""
+    exact = batch_topk(vectors, queries, k).select("qid", "id").cache()
+    total, probes = exact.count(), 1
+    while probes < len(centroids) and ivf_batch(vectors, centroids, queries, k, probes).join(exact, ["qid", "id"]).count() < target * total:
+        probes *= 2
+    exact.unpersist()
+    return min(probes, len(centroids))

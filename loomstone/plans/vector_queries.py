@@ -109,19 +109,24 @@ def fused_lists(s, d):
     return vector.fuse(lists, 10).select("id", R6("score"))
 
 
+def hundredth(v):
+    return v.where("id % 100 = 0").withColumnRenamed("id", "qid")
+
+
 def ivf(s, d):
     v = vectors(s, d)
-    return vector.ivf_topk(v, vector.ivf_fit(v, 16), query_vector(s, d), 10, 8).select("id", R6("dist"))
+    cells, queries = vector.ivf_fit(v, 16), hundredth(v)
+    return vector.ivf_batch(v, cells, queries, 10, vector.calibrate_batch(v, cells, queries, 10)).select("qid", "id", R6("dist"), "rank")
 
 
 def product_codes(s, d):
     v = vectors(s, d)
-    return quantize.coded_topk(v, query_vector(s, d), 10, quantize.Product.fit(quantize.sampled(v, 5000))).select("id", R6("dist"))
+    return quantize.coded_batch(v, hundredth(v), 10, quantize.Product.fit(quantize.sampled(v, 5000))).select("qid", "id", R6("dist"), "rank")
 
 
 def rotated_codes(s, d):
     v = vectors(s, d)
-    return quantize.coded_topk(v, query_vector(s, d), 10, quantize.Rotated.fit(quantize.sampled(v, 5000))).select("id", R6("dist"))
+    return quantize.coded_batch(v, hundredth(v), 10, quantize.Rotated.fit(quantize.sampled(v, 5000))).select("qid", "id", R6("dist"), "rank")
 
 
 def entropy(s, d):

@@ -13,8 +13,9 @@ from functools import lru_cache
 import numpy as np
 
 END_ID = 2
-#: Distinct words that a worker remembers; beyond that it forgets all and starts again. Longer words seldom come twice.
-REMEMBERED, WORD_CHARS = 1_600_000, 30
+#: Words that a worker remembers in each of two generations, about 160 bytes each. When the young one is full it becomes
+#: the old one, and what was in the old one and has not been met since is forgotten. Longer words seldom come twice.
+REMEMBERED, WORD_CHARS = 250_000, 30
 MARK = "~"
 
 
@@ -30,6 +31,7 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.drops_space = self.tok.normalizer is not None
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.end = np.array([END_ID], self.dtype).tobytes()
         #: Ids that begin a word when words are joined by spaces: those that hold the space.
         self.opens = np.array([str(self.tok.id_to_token(i)).startswith("\u0120") for i in range(self.tok.get_vocab_size())])
@@ -75,9 +77,12 @@ class Encoder:
             for k, x in zip(whole, self.raw([texts[k] for k in whole]), strict=True):
                 out[k] = x
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        new = list({w for _, ws in split for w in ws}.difference(known))
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
+        new = {w for _, ws in split for w in ws}.difference(known)
+        met = {w: old[w] for w in new if w in old}
+        known.update(met)
+        new = list(new.difference(met))
         once = [w for w in new if len(w) > WORD_CHARS]
         fresh: dict[str, bytes] = {}
         for at in range(0, len(new), 1024):

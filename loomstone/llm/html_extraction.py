@@ -1,17 +1,23 @@
 """Main text of web pages by tree scoring.
 
 A page is read into a light tree (void elements, raw text and implied ends as browsers treat them). Page furniture goes
-first: elements that are navigation, site headers and footers, sidebars, forms, scripts and the like by their tag, role
-or class words, unless they hold the article. Every paragraph then passes points to its ancestors: one, one for each
-comma and one for each hundred characters up to three; the parent gets all, the grandparent half, those above a third
-of that by level. A container's points are discounted by its link density. The best container is kept; where it lies in
-an <article> (or <main>), that element is. Of its siblings, headings and those with a fifth of its points or with
-paragraphs of their own and few links are kept too.
+first, unless it holds the article: elements that are navigation, footers, sidebars, forms, scripts and the like by
+their tag, or hidden, or by their role. A class or id alone removes an element only if the whole name says so (each of
+its words names furniture or a place or shape, as in "cookie-notice" or "ad_slot") and its size agrees: it has at most
+half of the text of the article or page around it, or mostly links, or there are paragraphs or headings beside it. A name that merely has such a word among others ("ad-free", "content-bottom", "legal-analysis") takes a quarter of the points
+of the element, and removes it only if it is mostly links.
+
+Every paragraph then passes points to its ancestors: one, one for each comma and one for each hundred characters up to
+three; the parent gets all, the grandparent half, those above a third of that by level. A container's points are
+discounted by its link density. The best container is kept (of equal ones the first of the page); where it lies in an
+<article> (or <main>), that element is. Of its siblings, headings and those with a fifth of its points or with paragraphs
+of their own and few links are kept too.
 
 Text: character references are decoded, white space inside a block is one space, blocks are trimmed and joined in page
-order by two line feeds. Nothing is cut off.
+order by two line feeds. Nothing is cut off, and very long or deep pages are read whole without recursion.
 
-Nulls: a null page is empty, and its text is empty. Repeated rows are kept. Other columns are ignored.
+Nulls: a null page is empty, and its text is empty; a null page_id or url stays null. Repeated rows are kept. An empty
+table gives an empty result. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -40,21 +46,30 @@ IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "
 SCOPE = frozenset("table td th ul ol dl body html article section div".split())
 DROPPED = frozenset("head script style noscript template iframe svg math canvas object embed audio video nav footer aside form button select input textarea dialog menu fieldset label noembed noframes map progress meter datalist".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist status".split())
-FURNITURE = frozenset(
-    "nav navbar navigation menu submenu topnav header masthead topbar footer sitefooter bottom sidebar side aside rail cookie cookies consent gdpr notice notices "
-    "banner alert warning disclaimer paywall promo promoted promotion sponsor sponsored sponsors advert adverts advertisement advertising ad ads adsense adbox adslot "
-    "comment comments commentlist disqus respond replies reply discussion share sharing social related recommended breadcrumb breadcrumbs pagination pager paging "
-    "newsletter subscribe subscription signup login register search searchbox popup modal overlay widget toolbar tags taglist copyright legal skip toc hidden".split()
+COMMENTS = frozenset("comment comments commentlist commentary disqus respond replies".split())
+FURNITURE = COMMENTS | frozenset(
+    "nav navbar navigation menu submenu topnav header masthead topbar footer sitefooter sidebar cookie cookies consent gdpr notice notices banner paywall promo promoted "
+    "promotion sponsor sponsors sponsored advert adverts advertisement advertising ad ads adsense adbox adslot share sharing social breadcrumb breadcrumbs pagination pager "
+    "paging newsletter subscribe subscription signup login register search searchbox popup modal overlay widget toolbar copyright hidden disclaimer skip".split()
+)
+#: Words that name furniture only sometimes: a name of such alone is a name among others.
+MILD = frozenset("side bottom rail aside alert warning reply discussion related recommended tags taglist legal toc".split())
+#: Words that say where or in what shape something is.
+NEUTRAL = MILD | frozenset(
+    "site page global top left right main primary secondary first last inner outer container wrapper wrap box bar list links link block section area unit slot item items button "
+    "buttons icon icons panel group row col column mobile desktop sticky fixed form text message title heading posts articles content bottom feed thread js the and by of".split()
 )
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 HEADINGS = frozenset(("h1", "h2", "h3"))
+PARAS = HEADINGS | frozenset("p pre blockquote li dd".split())
 SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("children", "drop", "holds", "linked", "parent", "points", "size", "tag")
+    __slots__ = ("children", "drop", "holds", "linked", "mild", "paras", "parent", "points", "size", "tag")
 
     def __init__(self, tag: str, parent: Node | None, drop: bool | str = False):
+        self.mild = drop == "mild"
         self.tag, self.parent, self.drop = tag, parent, drop
         self.children: list[Node | str] = []
         self.points = 0.0
@@ -63,10 +78,10 @@ class Node:
 
 
 def furniture(tag: str, attributes: str) -> bool | str:
-    """Whether the attributes alone say that this is no part of an article; "header" where they name a header only."""
+    """What the attributes say of an element: True if it is no part of an article, else "comment", "header", "named" or "mild"."""
     if not attributes or attributes.isspace():
         return False
-    named: set[str] = set()
+    said: set[str] = set()
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
@@ -75,11 +90,19 @@ def furniture(tag: str, attributes: str) -> bool | str:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main", "p", "h1"):
+        if name in ("class", "id") and tag not in ("html", "body", "main", "p", "h1"):
             for part in value.split():  # "has-sidebar" speaks of another element
                 ws = [w.lower() for w in WORDS.findall(part)]
-                named |= {w for w in ws if w in FURNITURE and ws[0] not in ("has", "with", "no", "without")}
-    return "header" if named == {"header"} else bool(named)
+                if not ws or ws[0] in ("has", "with", "no", "without", "not"):
+                    continue
+                named = [w for w in ws if w in FURNITURE]
+                if named and all(w in FURNITURE or w in NEUTRAL for w in ws):
+                    said.add("comment" if any(w in COMMENTS for w in named) else "header" if set(named) == {"header"} else "named")
+                elif named or any(w in MILD for w in ws):
+                    said.add("mild")
+    if tag == "article":
+        return "comment" if "comment" in said else False
+    return next((x for x in ("comment", "named", "header", "mild") if x in said), False)
 
 
 def parse(page: str) -> Node:
@@ -143,28 +166,54 @@ def _walk(root: Node) -> list[Node]:
     return out
 
 
+def measure(nodes: list[Node]) -> None:
+    """Text, linked text and text of paragraphs of each element, parents before children, without what is dropped."""
+    for n in nodes:
+        n.size = n.linked = n.paras = 0
+    for n in reversed(nodes):
+        n.size += sum(len(c.strip()) for c in n.children if type(c) is str)
+        if n.tag == "a":
+            n.linked = n.size
+        if n.parent is not None:
+            n.parent.size += n.size
+            n.parent.linked += n.linked
+            n.parent.paras += n.size - n.linked if n.tag in PARAS else n.paras
+
+
 def score(root: Node) -> list[Node]:
     """Elements that stay, with their points, text sizes and linked text sizes."""
     nodes = _walk(root)
     for n in reversed(nodes):
         n.holds = n.tag in ("article", "main") and not n.drop or any(c.holds for c in n.children if type(c) is Node)
-    inside: set[int] = set()
+    sure: list[Node] = []
+    inside: dict[int, Node] = {}  # the article, main or page around each element
     for n in nodes:
+        around = inside.get(id(n.parent), root)
+        inside[id(n)] = n if n.tag in ("article", "main") and not n.drop else around
         if n.parent is not None:
-            if id(n.parent) in inside or n.tag in ("article", "main"):
-                inside.add(id(n))
-            if n.drop == "header" or n.tag == "header" and not n.drop:  # an article's own header holds its title
-                n.drop = id(n) not in inside
-            n.drop = n.parent.drop or (n.drop and not n.holds) or (n.drop and n.tag in ("head", "noscript", "template"))
-    kept = [n for n in nodes if not n.drop]
-    for n in reversed(kept):
-        own = sum(len(c.strip()) for c in n.children if type(c) is str)
-        n.size += own
-        if n.tag == "a":
-            n.linked = n.size
-        if n.parent is not None:
-            n.parent.size += n.size
-            n.parent.linked += n.linked
+            if n.tag == "header" and n.drop in (False, "mild"):
+                n.drop = "header"
+            n.drop = True if n.parent.drop is True else n.drop is True and (not n.holds or n.tag in ("head", "noscript", "template")) or (n.drop if type(n.drop) is str else False)
+        if n.drop is not True:
+            sure.append(n)
+    measure(sure)
+    kept = []
+    for n in sure:
+        if n.parent is not None and n.drop:
+            around, links = inside[id(n.parent)], 2 * n.linked >= n.size
+            if n.parent.drop:
+                n.drop = True
+            elif n.holds or n.drop == "mild" and not links:
+                n.drop = False
+            elif n.drop == "header" and around is not root:  # an article's own header holds its title
+                n.drop = False
+            else:  # unless it has the paragraphs of the article or page
+                n.drop = links or 2 * n.size <= around.size or around.paras > n.paras
+        elif n.parent is not None:
+            n.drop = n.parent.drop
+        if not n.drop:
+            kept.append(n)
+    measure(kept)
     for n in kept:
         direct = n.tag in ("div", "section", "article", "main", "td", "body", "center") and any(type(c) is str and len(c.strip()) >= 25 for c in n.children)
         if n.tag not in ("p", "pre", "blockquote", "li", "dd") and not direct or not n.size:
@@ -175,6 +224,9 @@ def score(root: Node) -> list[Node]:
         while up is not None and up.tag != "#root":
             up.points += points / (1 if not level else 2 if level == 1 else 3 * level)
             up, level = up.parent, level + 1
+    for n in kept:
+        if n.mild:
+            n.points *= 0.75
     return kept
 
 

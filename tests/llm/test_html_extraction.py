@@ -34,6 +34,36 @@ def test_headers_of_the_site_and_of_the_article():
     assert hx.extract(f"<body><div class='with-sidebar'><h2>H</h2><p>{P1}</p></div><div class='sidebar'><p>{P2}</p></div></body>") == f"H\n\n{P1}"
 
 
+@pytest.mark.parametrize("name", ["ad-free", "content-bottom", "left-side", "legal-analysis", "related-work", "warning-signs", "commentary-on-law", "header-free"])
+def test_names_that_only_have_such_a_word_lose_nothing(name):
+    text = f"H\n\n{P1}\n\n{P2}\n\n{P3}"
+    assert hx.extract(f"<body><div class='post {name}'><h1>H</h1><p>{P1}</p><p>{P2}</p><p>{P3}</p></div><div>short</div></body>") == text
+    for attribute in ("class", "id"):
+        assert hx.extract(f"<article><h1>H</h1><p>{P1}</p><div {attribute}='{name}'><p>{P2}</p></div><p>{P3}</p></article>") == text
+
+
+@pytest.mark.parametrize("name", ["ad", "ads", "ad-slot", "cookie-notice", "sidebar", "right-sidebar", "site-footer", "shareButtons", "newsletter_box", "comments", "comment-list", "social-links", "promo"])
+def test_names_that_are_furniture_go(name):
+    text = f"H\n\n{P1}\n\n{P2}"
+    for attribute in ("class", "id"):
+        assert hx.extract(f"<article><h1>H</h1><p>{P1}</p><div {attribute}='{name}'><p>{P3}</p></div><p>{P2}</p></article>") == text
+        assert hx.extract(f"<body><div><h1>H</h1><p>{P1}</p><p>{P2}</p></div><div {attribute}='{name}'><p>{P3}</p></div></body>") == text
+
+
+def test_a_name_alone_does_not_remove_most_of_a_page():
+    assert hx.extract(f"<body><div class='sidebar'><p>{P1}</p><p>{P2}</p></div><div>short</div></body>") == f"{P1}\n\n{P2}"
+    many = "".join(f"<div class=comment><p>{P3}</p></div>" for _ in range(9))
+    assert hx.extract(f"<article><h1>H</h1><p>{P1}</p><p>{P2}</p><section id=comments>{many}</section></article>") == f"H\n\n{P1}\n\n{P2}"
+    nested = f"<article class=post><h1>H</h1><p>{P1}</p><p>{P2}</p><div id=comments><article class=comment><p>{P3}</p></article></div></article>"
+    assert hx.extract(nested) == f"H\n\n{P1}\n\n{P2}"
+
+
+def test_pages_with_div_for_article_give_the_same_text(spark, sf):
+    for r in spark.read.parquet(f"{sf}/pages.parquet").limit(100).collect():
+        page = r["html"] or ""
+        assert hx.extract(page.replace("<article", "<div").replace("</article", "</div")) == hx.extract(page)
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<html>", "<p>", "<nav><a>x</a></nav>", "<", "<!-- open", "<script>x", "</p></div>", "<a href='x"])
 def test_pages_without_text(page):
     assert hx.extract(page) == ""

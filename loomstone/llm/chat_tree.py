@@ -15,9 +15,13 @@ Every node carries ``start`` (its place in the emitted token stream), ``n_tokens
 first token: the tokens of its ancestors) and ``spans``: the intervals of the stream that its tokens attend to besides
 their own causal part. Ancestors emitted back to back share one interval.
 
-Conversations are streamed turn by turn in order (turn, role, text), so one conversation may hold any number of turns.
-Nulls: a null text or role is empty, null turns come first, null ids are one conversation. Repeated rows are turns of
-their own. An empty table gives an empty result. Other columns are ignored.
+``read_back`` needs the stream, in blocks of BLOCK tokens with position ids and loss mask, and each conversation's leaf:
+it walks the leaf's spans over the blocks, joins the pieces and parses the template, so it gives what a trainer sees.
+
+Conversations are streamed turn by turn in order (turn, role, text), so one conversation may hold any number of turns of
+any length. Nulls: a null text or role is empty, null turns come first, null ids are one conversation. Ties of turn are
+ordered by role and text; repeated rows are turns of their own. An empty table gives an empty result. Other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +39,8 @@ from pyspark.sql import functions as F
 from . import common, tokens
 
 START, END, BREAK = "<|im_start|>", "<|im_end|>", "<|nl|>"
+#: Tokens of a block of the emitted stream, and conversations that one copy of a block serves.
+BLOCK, READERS = 1024, 4096
 STEP = 20  # bytes of a chain for each turn: 16 of hash, 4 for the number of tokens
 
 
@@ -187,59 +194,117 @@ def emit(chains: DataFrame, scratch: common.Scratch) -> DataFrame:
 
 
 def tree(conversations: DataFrame, vocabulary: str, scratch: common.Scratch) -> tuple[DataFrame, DataFrame]:
-    """(nodes with their tokens and intervals, members: conv_id, i, node)."""
+    """(nodes with their tokens and intervals, leaves: conv_id, i, node of each conversation's last turn)."""
     rows = scratch.table(turns(conversations, vocabulary), "turns")
     order = emit(rows.where("chain is not null").select("chain").distinct(), scratch)
     bodies = rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("parent", "ids", "n_head", "n_body", "learn")))
-    return order.join(bodies, "node"), rows.select("conv_id", "i", "node")
-
-
-DIGESTS = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_tokens bigint, shared_tokens bigint"
-DIGEST_KINDS = {"conv_id": pa.int64(), "n_turns": pa.int64(), "turns_sha256": pa.string(), "loss_chars": pa.int64(), "loss_sha256": pa.string(), "formatted_chars": pa.int64(), "n_tokens": pa.int64(), "shared_tokens": pa.int64()}
-
-
-def read_back(nodes: DataFrame, members: DataFrame, vocabulary: str) -> DataFrame:
-    """Digests of each conversation from the emitted tokens alone."""
+    return order.join(bodies, "node"), rows.where("chain is not null").select("conv_id", "i", "node")
+
+
+def stream(nodes: DataFrame, width: int) -> DataFrame:
+    """The emitted tokens in blocks of BLOCK: block, pieces (at, position of the first token, loss mask, ids); nothing of the tree."""
+    parts = ((F.lit(0), F.col("n_head"), F.lit(False)), (F.col("n_head"), F.col("n_body"), F.col("learn")), (F.col("n_head") + F.col("n_body"), (F.col("n_tokens") - F.col("n_head") - F.col("n_body")).cast("int"), F.lit(False)))
+    segment = F.explode(F.array(*(F.struct(o.cast("int").alias("o"), n.cast("int").alias("n"), learn.alias("learn")) for o, n, learn in parts)))
+    rows = nodes.select("start", "position", "ids", segment.alias("s")).where("s.n > 0")
+    rows = rows.select((F.col("start") + F.col("s.o")).alias("at"), (F.col("position") + F.col("s.o")).alias("position"), F.col("s.n").alias("n"), F.col("s.learn").alias("learn"), F.expr(f"substring(ids, s.o * {width} + 1, s.n * {width})").alias("ids"))
+    rows = rows.withColumn("block", F.explode(F.expr(f"sequence(at div {BLOCK}, (at + n - 1) div {BLOCK})")))
+    rows = rows.withColumn("lo", F.greatest("at", F.col("block") * BLOCK)).withColumn("hi", F.least(F.col("at") + F.col("n"), (F.col("block") + 1) * BLOCK))
+    piece = F.struct(F.col("lo").alias("at"), (F.col("hi") - F.col("lo")).alias("n"), (F.col("position") + F.col("lo") - F.col("at")).alias("position"), "learn", F.expr(f"substring(ids, int(lo - at) * {width} + 1, int(hi - lo) * {width})").alias("ids"))
+    return rows.groupBy("block").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
+
+
+@lru_cache(2)
+def alphabet(vocabulary: str) -> list[bytes]:
+    """The bytes of each id of a byte-level vocabulary: printable characters stand for themselves, others for 256 and on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
+    tok = tokens.encoder(vocabulary).tok
+    return [bytes(byte[c] for c in x) if all(c in byte for c in x) else x.encode() for x in map(tok.id_to_token, range(tok.get_vocab_size()))]
+
+
+DIGESTS = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_tokens bigint"
+DIGEST_KINDS = {"conv_id": pa.int64(), "n_turns": pa.int64(), "turns_sha256": pa.string(), "loss_chars": pa.int64(), "loss_sha256": pa.string(), "formatted_chars": pa.int64(), "n_tokens": pa.int64()}
+
+
+class Reader:
+    """One conversation from its pieces of the stream, turn by turn."""
+
+    def __init__(self, conv: int | None):
+        self.conv, self.n_turns, self.count, self.loss_chars, self.chars = conv, 0, 0, 0, 0
+        self.turns, self.loss, self.open, self.learnt = hashlib.sha256(), hashlib.sha256(), bytearray(), bytearray()
+
+    def take(self, position: int, learn: bool, raw: bytes, n: int) -> None:
+        if position != self.count:
+            raise ValueError(f"conversation {self.conv}: position id {position} at its token {self.count}")
+        self.count += n
+        self.open += raw
+        if learn:
+            self.learnt += raw
+            return
+        while (end := self.open.find(TAIL.encode())) >= 0:  # texts are escaped, so only the template says so
+            turn = self.open[:end].decode()
+            line = turn.index("\n")
+            role, text = read_head(turn[: line + 1]), unescape(turn[line + 1 :])
+            self.n_turns += 1
+            self.turns.update(f"{role}\n{text}\n".encode())
+            text = unescape(self.learnt.decode())
+            self.loss_chars += len(text)
+            self.loss.update(text.encode())
+            self.chars += len(turn) + len(TAIL)
+            del self.open[: end + len(TAIL)]
+            self.learnt.clear()
+
+    def close(self) -> list:
+        if self.open or self.learnt:
+            raise ValueError(f"conversation {self.conv}: its tokens end within a turn")
+        return [self.conv, self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, self.count]
+
+
+def read_back(nodes: DataFrame, leaves: DataFrame, vocabulary: str) -> DataFrame:
+    """Digests of each conversation from the stream alone: its leaf's intervals are walked, and the template is parsed.
+
+    Position ids must count the tokens of a conversation from 0; a wrong id or interval is an error or another text.
+    """
+    enc = tokens.encoder(vocabulary)
+    width = enc.dtype.itemsize
+    blocks = stream(nodes, width)
+    own = F.array(F.struct("start", (F.col("start") + F.col("n_tokens")).alias("end")))
+    wanted = leaves.select("conv_id", "node").join(nodes.select("node", F.concat("spans", own).alias("walk")), "node")
+    wanted = wanted.select("conv_id", F.explode("walk").alias("w")).where("w.end > w.start")
+    wanted = wanted.select("conv_id", F.col("w.start").alias("lo"), F.col("w.end").alias("hi"), F.explode(F.expr(f"sequence(w.start div {BLOCK}, (w.end - 1) div {BLOCK})")).alias("block"))
+    # A block of first turns that very many conversations share is copied for every READERS of them.
+    salts = wanted.groupBy("block").agg(F.ceil(F.count("*") / READERS).cast("int").alias("salts"))
+    blocks = blocks.join(salts, "block").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    wanted = wanted.join(salts, "block").withColumn("salt", F.pmod(F.xxhash64("conv_id"), F.col("salts")).cast("int")).drop("salts")
+    inside = F.filter("pieces", lambda p: (p.at < F.col("hi")) & (p.at + p.n > F.col("lo")))
+
+    def part(p):
+        lo, hi = F.greatest(p.at, F.col("lo")), F.least(p.at + p.n, F.col("hi"))
+        ids = p.ids.substr(((lo - p.at) * width + 1).cast("int"), ((hi - lo) * width).cast("int"))
+        return F.struct(lo.alias("at"), (p.position + lo - p.at).alias("position"), p.learn.alias("learn"), ids.alias("ids"))
+
+    rows = wanted.join(blocks, ["block", "salt"]).select("conv_id", "lo", "block", F.transform(inside, part).alias("pieces"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = tokens.encoder(vocabulary)
-        last, state, out = object(), None, []
-
-        def close() -> None:
-            if state:
-                conv, n, all_, chars, loss, formatted, count, common_ = state
-                out.append([conv, n, all_.hexdigest(), chars, loss.hexdigest(), formatted, count, common_])
-
+        known = alphabet(vocabulary)
+        reader, out = None, []
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("conv_id", "ids", "n_head", "n_body", "learn", "uses")]
-            parts = []
-            for raw, h, b in zip(*cols[1:4], strict=True):
-                ids = np.frombuffer(raw, enc.dtype).tolist()
-                parts += [ids[:h], ids[h : h + b], ids[h + b :]]
-            texts = enc.tok.decode_batch(parts, skip_special_tokens=False)
-            for k, (conv, learn, uses) in enumerate(zip(cols[0], *cols[4:], strict=True)):
-                if conv != last:
-                    close()
-                    last, state = conv, [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0]
-                role, text = read_head(texts[3 * k]), unescape(texts[3 * k + 1])
-                state[1] += 1
-                state[2].update(f"{role}\n{text}\n".encode())
-                if learn:
-                    state[3] += len(text)
-                    state[4].update(text.encode())
-                state[5] += sum(map(len, texts[3 * k : 3 * k + 3]))
-                n = sum(map(len, parts[3 * k : 3 * k + 3]))
-                state[6] += n
-                state[7] += n * (uses > 1)
+            for conv, pieces in zip(batch.column("conv_id").to_pylist(), batch.column("pieces").to_pylist(), strict=True):
+                if reader is None or conv != reader.conv:
+                    if reader:
+                        out.append(reader.close())
+                    reader = Reader(conv)
+                for p in pieces:
+                    ids = np.frombuffer(p["ids"], enc_type).tolist()
+                    reader.take(p["position"], p["learn"], b"".join([known[i] for i in ids]), len(ids))
             yield _batch(out, DIGEST_KINDS)
-            out.clear()
-        close()
-        yield _batch(out, DIGEST_KINDS)
+            out = []
+        if reader:
+            yield _batch([reader.close()], DIGEST_KINDS)
 
-    uses = members.groupBy("node").agg(F.count("*").alias("uses"))
-    bodies = nodes.select("node", "ids", "n_head", "n_body", "learn").join(uses, "node")
-    rows = members.join(bodies, "node").select("conv_id", "i", "ids", "n_head", "n_body", "learn", "uses")
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "i").mapInArrow(run, DIGESTS)
+    enc_type = enc.dtype.str
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "lo", "block").select("conv_id", "pieces").mapInArrow(run, DIGESTS)
 
 
 #: The row that shows that control strings in texts do no harm.
@@ -251,7 +316,6 @@ def op3_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = common.read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     rows = rows.unionByName(spark.createDataFrame([(-1, 0, "user", HOSTILE), (-1, 1, "assistant", HOSTILE)], "conv_id bigint, turn bigint, role string, text string"))
     vocabulary = tokens.public("byte_bpe_50k.json")
-    nodes, members = tree(rows, vocabulary, s)
+    nodes, leaves = tree(rows, vocabulary, s)
     nodes = s.table(nodes, "tree")
-    return s.result(read_back(nodes, members, vocabulary).drop("n_tokens", "shared_tokens"), "chats")
-
+    return s.result(read_back(nodes, leaves, vocabulary).drop("n_tokens"), "chats")

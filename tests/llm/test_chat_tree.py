@@ -6,6 +6,8 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from loomstone.llm import chat_tree, common, tokens
 
 from . import helpers
@@ -81,6 +83,26 @@ def test_tree_and_read_back(spark, partitions):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
+@pytest.mark.parametrize("wrong", ["spans", "position", "start", "ids"])
+def test_a_wrong_interval_position_or_token_shows(spark, wrong):
+    df, s = conversations(spark).where("conv_id in (1, 2, 3)"), common.Scratch(spark)
+    nodes, leaves = chat_tree.tree(df, PATH, s)
+    nodes = s.table(nodes, "tree")
+    good = sorted(map(tuple, chat_tree.read_back(nodes, leaves, PATH).collect()))
+    bad = {
+        "spans": "transform(spans, x -> named_struct('start', x.start, 'end', x.end - 1))",
+        "position": "position + 1",
+        "start": "if(depth = 0, start, start + 1)",
+        "ids": "if(depth = 0, concat(substring(ids, 1, length(ids) - 6), substring(ids, 1, 6)), ids)",
+    }[wrong]
+    try:
+        got = sorted(map(tuple, chat_tree.read_back(nodes.withColumn(wrong, F.expr(bad)), leaves, PATH).collect()))
+    except Exception as e:
+        assert "conversation" in str(e) or "utf-8" in str(e) or "substring" in str(e)
+    else:
+        assert got != good
+
+
 def test_query(spark, sf):
     got = {r["conv_id"]: r for r in chat_tree.op3_chat_tree(spark, sf).collect()}
     expected = want(common.read(spark, sf, "conversations"))

@@ -9,12 +9,13 @@
   the low one, both set between the recording's lowest and highest frame energy;
 * one tensor of fixed shape (BINS, MELS): the frames averaged over BINS equal spans of time.
 
-The tensor column is an Arrow fixed-shape tensor (``tensor_array``) beside ``spans``, the start and end seconds of each
-segment. A recording is computed by itself and in blocks of BLOCK samples, so equal payloads give equal values and a
-very long one takes no more memory than its energies.
+The results are stored as Arrow record batches with a column of fixed-shape tensors beside ``spans``, the start and end
+seconds of each segment, and are read back from there. A recording is computed by itself and in blocks of BLOCK samples,
+so equal payloads give equal values and a very long one takes no more memory than its energies. A payload is one value
+of a row, so it has less than 2 GB, which the 32-bit sizes of the file format hold.
 
-Nulls: a null payload is empty; empty payloads are padded to PAD bytes like any other. Repeated ids are kept. Other
-columns are ignored.
+Nulls: a null payload is empty, a null id stays null; empty payloads are padded to PAD bytes like any other. Repeated
+rows are kept. An empty table gives an empty result. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -138,44 +139,73 @@ def store(rows: DataFrame, key: str, payload: str, path: str) -> None:
     rows.mapInArrow(write, f"{key} bigint, n_bytes bigint, wave binary").write.option("compression", "zstd").parquet(path)
 
 
+TENSOR = pa.fixed_shape_tensor(pa.float32(), [BINS, MELS], dim_names=["time", "mel"])
+SPANS = pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64())]))
+FIELDS = {"n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "frames": pa.int64()}
+
+
+def tensor_array(tensors: list[np.ndarray]) -> pa.ExtensionArray:
+    """Arrays of shape (BINS, MELS) as an Arrow array of fixed-shape tensors."""
+    flat = pa.array(np.concatenate([np.zeros(0, np.float32), *(x.reshape(-1) for x in tensors)]), pa.float32())
+    return pa.ExtensionArray.from_storage(TENSOR, pa.FixedSizeListArray.from_arrays(flat, BINS * MELS))
+
+
 def features(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """What the stored files hold: digests of the payload and of the file, tensor and spans."""
+    """What the stored files hold, as Arrow record batches (one a row of ``arrow``) with a column of fixed-shape tensors.
+
+    A batch has the key, digests of the payload and of the file, the number of frames, ``tensor`` and ``spans``.
+    """
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches, "wave", 4 << 20):
             out: list[list] = [[] for _ in range(8)]
             for raw in batch.column("wave").to_pylist():
                 samples, _ = from_wave(raw)
                 mels, energy = log_mel(samples)
-                for column, x in zip(out, (len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-PAD:]), len(raw), hashlib.sha256(raw).hexdigest(), len(energy), pooled(mels).reshape(-1), [{"start": a, "end": b} for a, b in segments(energy)]), strict=True):
+                for column, x in zip(out, (len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-PAD:]), len(raw), hashlib.sha256(raw).hexdigest(), len(energy), pooled(mels), [{"start": a, "end": b} for a, b in segments(energy)]), strict=True):
                     column.append(x)
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.float32()), pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64())]))]
-            names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "frames", "tensor", "spans"]
-            yield pa.record_batch([batch.column(key), batch.column("n_bytes"), *(pa.array(x, t) for x, t in zip(out, kinds, strict=True))], names=[key, "n_bytes", *names])
+            plain = [batch.column("n_bytes"), *(pa.array(x, t) for x, t in zip(out, list(FIELDS.values())[1:], strict=False))]
+            rows = pa.record_batch([batch.column(key), *plain, tensor_array(out[-2]), pa.array(out[-1], SPANS)], names=[key, *FIELDS, "tensor", "spans"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema) as writer:
+                writer.write_batch(rows)
+            yield pa.record_batch([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["arrow"])
 
-    schema = f"{key} bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, frames bigint, tensor array<float>, spans array<struct<start: double, end: double>>"
     stored = spark.read.schema(f"{key} bigint, n_bytes bigint, wave binary").parquet(path)
-    return stored.mapInArrow(compute, schema)
+    return stored.mapInArrow(compute, "arrow binary")
+
+
+def read_tensors(raw: bytes) -> pa.Table:
+    """The record batch of one row of ``features``, with its tensor column typed."""
+    table = pa.ipc.open_stream(raw).read_all()
+    if table.schema.field("tensor").type != TENSOR:
+        raise ValueError(f"tensors of type {table.schema.field('tensor').type}")
+    return table
 
 
-def tensor_array(column: pa.Array) -> pa.ExtensionArray:
-    """A ``tensor`` column as an Arrow array of fixed-shape tensors (BINS, MELS)."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    flat = pa.FixedSizeListArray.from_arrays(column.flatten(), BINS * MELS)
-    return pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), [BINS, MELS], dim_names=["time", "mel"]), flat)
+def described(tables: DataFrame, key: str) -> DataFrame:
+    """One row per recording of the stored ``tables(arrow)``: key, digests and ``feature``, all tensor values and spans as text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column("arrow").to_pylist():
+                table = read_tensors(raw)
+                tensors = table.column("tensor").combine_chunks().to_numpy_ndarray()
+                text = []
+                for x, frames, spans in zip(tensors, table.column("frames").to_pylist(), table.column("spans").to_pylist(), strict=True):
+                    voiced = round(sum(s["end"] - s["start"] for s in spans), 3)
+                    mel = ",".join([f"{v:.1f}" for v in x.reshape(-1).tolist()])
+                    text.append(f"frames={frames};segments={len(spans)};voiced={voiced};mel={mel};spans={','.join(f'{s['start']}-{s['end']}' for s in spans)}")
+                columns = [c for c in (key, *FIELDS) if c != "frames"]
+                for part in table.select(columns).append_column("feature", pa.array(text, pa.string())).to_batches():
+                    yield part
+
+    names = ", ".join(f"{n} {'string' if t == pa.string() else 'bigint'}" for n, t in FIELDS.items() if n != "frames")
+    return tables.mapInArrow(run, f"{key} bigint, {names}, feature string")
 
 
 def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = common.Scratch(spark)
     store(common.read(spark, sf_dir, "documents"), "doc_id", "text", path := s.path("waves"))
-    rows = features(spark, path, "doc_id")
-    digest = F.concat_ws(
-        ";",
-        F.concat(F.lit("frames="), F.col("frames")),
-        F.concat(F.lit("segments="), F.size("spans")),
-        F.concat(F.lit("voiced="), F.round(F.aggregate("spans", F.lit(0.0), lambda a, x: a + x.end - x.start), 3)),
-        F.concat(F.lit("mel="), F.array_join(F.transform("tensor", lambda x: F.format_number(x, 1)), ",")),
-        F.concat(F.lit("spans="), F.array_join(F.transform("spans", lambda x: F.concat_ws("-", x.start.cast("string"), x.end.cast("string"))), ",")),
-    )
-    out = rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", digest.alias("feature"))
-    return s.result(out, "audio")
+    tables = s.table(features(spark, path, "doc_id"), "tensors")
+    return s.result(described(tables, "doc_id"), "audio")

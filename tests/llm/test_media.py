@@ -68,13 +68,78 @@ def test_query(spark, tmp_path):
         assert by.setdefault(r["payload_sha256"], r["feature"]) == r["feature"]
 
 
-def test_fixed_shape_tensor(spark, tmp_path):
+def test_fixed_shape_tensors_are_stored_and_read(spark, tmp_path):
     media.store(helpers.awkward(spark), "doc_id", "text", f"{tmp_path}/w")
-    t = media.features(spark, f"{tmp_path}/w", "doc_id").toArrow()
-    tensor = media.tensor_array(t.column("tensor"))
-    assert tensor.to_numpy_ndarray().shape == (t.num_rows, media.BINS, media.MELS) and isinstance(tensor.type, pa.FixedShapeTensorType)
+    media.features(spark, f"{tmp_path}/w", "doc_id").write.parquet(f"{tmp_path}/t")
+    stored = spark.read.parquet(f"{tmp_path}/t")
+    held = [media.read_tensors(bytes(r["arrow"])) for r in stored.collect()]
+    assert sum(t.num_rows for t in held) == helpers.awkward(spark).count()
+    for t in held:
+        column = t.column("tensor").combine_chunks()
+        assert isinstance(column.type, pa.FixedShapeTensorType) and column.to_numpy_ndarray().shape == (t.num_rows, media.BINS, media.MELS)
+    good = sorted((r["doc_id"] or -1, r["feature"]) for r in media.described(stored, "doc_id").collect())
+    # A tensor or span changed in the stored table is another feature.
+    for wrong in ("tensor", "spans"):
+        rows = []
+        for t in held:
+            x = t.column("tensor").combine_chunks().to_numpy_ndarray().copy()
+            spans = t.column("spans").to_pylist()
+            if wrong == "tensor":
+                x[0, -1, -1] += 1
+                t = t.set_column(t.schema.get_field_index("tensor"), "tensor", media.tensor_array(list(x)))
+            else:
+                spans[0] = [*spans[0], {"start": 1.0, "end": 2.0}]
+                t = t.set_column(t.schema.get_field_index("spans"), "spans", pa.array(spans, media.SPANS))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, t.schema) as writer:
+                writer.write_table(t)
+            rows.append((bytearray(sink.getvalue().to_pybytes()),))
+        bad = media.described(spark.createDataFrame(rows, "arrow binary"), "doc_id").collect()
+        assert sorted((r["doc_id"] or -1, r["feature"]) for r in bad) != good
     media.store(helpers.empty(spark), "doc_id", "text", f"{tmp_path}/e")
-    assert media.features(spark, f"{tmp_path}/e", "doc_id").count() == 0
+    assert media.described(media.features(spark, f"{tmp_path}/e", "doc_id"), "doc_id").count() == 0
+
+
+def plain_feature(payload):
+    """The feature by its definition: one sum per sample, frame, frequency and band."""
+    x = [(v - 128) / 128 for v in payload]
+    fir, bank, hann = (t.astype(float).tolist() for t in media._tables())
+    line = [0.0] * (media.TAPS - 2) + x + [0.0] * (len(x) & 1)
+    half = [sum(line[k + t] * fir[t] for t in range(media.TAPS)) for k in range(0, len(line) - media.TAPS + 1, 2)]
+    frames, k = [], 0
+    while not frames or (k - 1) * media.HOP + media.WINDOW < len(half):
+        frames.append([*half[k * media.HOP : k * media.HOP + media.WINDOW], *[0.0] * media.WINDOW][: media.WINDOW])
+        k += 1
+    angle = -2j * np.pi / media.WINDOW
+    mels, energy = [], []
+    for f in frames:
+        power = [abs(sum(f[t] * hann[t] * np.exp(angle * q * t) for t in range(media.WINDOW))) ** 2 for q in range(media.WINDOW // 2 + 1)]
+        mels.append([np.log(sum(power[q] * bank[q][m] for q in range(len(power))) + 1e-6) for m in range(media.MELS)])
+        energy.append(sum(v * v for v in f) / media.WINDOW)
+    low, span = min(energy), max(energy) - min(energy)
+    on, state = [], False
+    for e in energy:
+        state = True if e >= low + media.HIGH * span else False if e < low + media.LOW * span else state
+        on.append(state)
+    pool = []
+    for b in range(media.BINS):
+        lo = min(int(b * len(frames) / media.BINS), len(frames) - 1)
+        hi = max(int(np.ceil((b + 1) * len(frames) / media.BINS)), lo + 1)
+        pool.append([sum(m[j] for m in mels[lo:hi]) / (hi - lo) for j in range(media.MELS)])
+    return len(frames), on, np.array(pool)
+
+
+def test_query_against_the_definition(spark, tmp_path):
+    texts = [helpers.prose(1, 40), "aaaa" * 90 + "\x7f\x01" * 200 + "aaaa" * 90, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for r in media.op10_audio_features(spark, str(tmp_path)).collect():
+        n, on, pool = plain_feature(media.padded(texts[r["doc_id"]].encode()))
+        said = dict(x.split("=") for x in r["feature"].split(";"))
+        assert int(said["frames"]) == n and np.allclose([float(v) for v in said["mel"].split(",")], pool.reshape(-1), atol=0.11)
+        step = media.HOP * 2 / media.RATE
+        if n > 1:
+            assert int(said["segments"]) == sum(b and not a for a, b in zip([False, *on], on, strict=False))
+            assert abs(float(said["voiced"]) - step * sum(on)) < 1e-3
 
 
 def test_feature_tells_recordings_apart_after_the_first_eighth(spark, tmp_path):

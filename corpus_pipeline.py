@@ -15,7 +15,7 @@ from loomstone.llm import common, decontamination, near_dedup, packing, quality,
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier accepts; it is trained on the labelled ones among them."""
     s = common.Scratch(spark)
-    model = quality.train(docs, common.read(spark, sf_dir, "labels"), s)
+    model, _ = quality.train(docs, common.read(spark, sf_dir, "labels"), s)
     s.drop()
     return quality.accept(docs, model)
 

@@ -26,7 +26,7 @@ def corpus(spark, n=900):
 def test_held_out_accuracy(spark):
     docs, labels = corpus(spark)
     known = spark.createDataFrame(labels[:500], "doc_id bigint, quality int, toxic int")
-    model = quality.train(docs, known, common.Scratch(spark))
+    model, _ = quality.train(docs, known, common.Scratch(spark))
     got = {r["doc_id"]: r for r in quality.score(docs, model).collect()}
     assert len(got) == len(labels)
     held = labels[500:]
@@ -47,12 +47,12 @@ def test_fit_separates():
 def test_awkward_documents(spark):
     docs, labels = corpus(spark, 120)
     known = spark.createDataFrame([*labels[:80], (None, 1, 0), (5, None, 1), (6, 0, None), (7, None, None), (99999, 1, 1)], "doc_id bigint, quality int, toxic int")
-    model = quality.train(docs, known, common.Scratch(spark))
+    model, _ = quality.train(docs, known, common.Scratch(spark))
     df = helpers.awkward(spark)
     assert quality.score(df, model).count() == df.count()
     kept = quality.accept(df, model)
     assert kept.columns == df.columns and kept.count() <= df.count()
-    model = quality.train(df, known, common.Scratch(spark))  # trained on nulls and the like
+    model, _ = quality.train(df, known, common.Scratch(spark))  # trained on nulls and the like
     assert quality.score(df, model).count() == df.count()
 
 
@@ -60,7 +60,72 @@ def test_no_labels_reject_nothing(spark):
     docs, labels = corpus(spark, 30)
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     for known in (none, spark.createDataFrame([(i, 1, 0) for i, *_ in labels], none.schema)):
-        model = quality.train(docs, known, common.Scratch(spark))
+        model, _ = quality.train(docs, known, common.Scratch(spark))
         assert quality.accept(docs, model).count() == 30
     assert quality.score(helpers.empty(spark), model).count() == 0
-    assert quality.score(helpers.empty(spark), quality.train(helpers.empty(spark), none, common.Scratch(spark))).count() == 0
+    assert quality.score(helpers.empty(spark), quality.train(helpers.empty(spark), none, common.Scratch(spark))[0]).count() == 0
+
+
+def split_views(spark, n=1500):
+    """A corpus in which either view tells the classes apart, by many words or sources of which few are labelled."""
+    r, rows, labels = random.Random(9), [], []
+    bad, good = ([f"{x}{k}q" for k in range(60)] for x in ("bad", "good"))
+    for i in range(n):
+        low = r.random() < 0.4
+        ws = helpers.prose(i, 30).split() + r.choices(bad if low else good, k=2)
+        r.shuffle(ws)
+        rows.append((i, " ".join(ws), "en", f"{'junk' if low else 'fine'}{r.randrange(3)}", 150 + (i % 7)))
+        labels.append((i, int(not low), 0))
+    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint"), labels
+
+
+def test_each_view_teaches_the_other(spark, monkeypatch):
+    docs, labels = split_views(spark)
+    known = spark.createDataFrame(labels[:160], "doc_id bigint, quality int, toxic int")
+    monkeypatch.setattr(quality, "CHI_SQUARE", (0.1, 4))
+    right = {}
+    for rounds in (0, quality.ROUNDS):
+        monkeypatch.setattr(quality.cotrain, "__defaults__", (rounds,))
+        model, every = quality.train(docs, known, common.Scratch(spark))
+        views, _ = model.heads[0]
+        hits = []
+        for row in every.where("doc_id >= 160").collect():
+            z = [w[row[v]].sum() + b for (w, b), v in zip(views, quality.VIEWS, strict=True)]
+            hits.append([(x >= 0) == (labels[row["doc_id"]][1] == 0) for x in z])
+        right[rounds] = np.mean(hits, 0)
+    content_alone, content_taught = right[0][0], right[quality.ROUNDS][0]
+    assert content_taught > content_alone + 0.03  # the metadata view's labels teach words that few labelled rows have
+    assert right[quality.ROUNDS][1] >= right[0][1] - 0.01
+
+
+def test_confident_counts_against_all_rows(spark):
+    r = np.random.default_rng(1)
+    lists = [[sorted(set(r.integers(0, 9, 4).tolist())), sorted(set(r.integers(0, 5, 2).tolist()))] for _ in range(200)]
+    pool = spark.createDataFrame([(i, None, None, *x) for i, x in enumerate(lists)], quality.COMPACT)
+    views = [(r.normal(size=9) * 3, 0.2), (r.normal(size=5) * 4, -0.1)]
+    got = quality.confident(pool, [views], (np.arange(9), np.arange(5)))[0]
+    edge = np.log(quality.CONFIDENT / (1 - quality.CONFIDENT))
+    for student, (docs, features) in enumerate(got):
+        w, b = views[1 - student]
+        z = np.array([w[x[1 - student]].sum() + b for x in lists])
+        for label, sure in ((0, z <= -edge), (1, z >= edge)):
+            assert docs[label] == sure.sum()
+            want = np.zeros(len(features[label]))
+            for k in np.flatnonzero(sure):
+                want[lists[k][student]] += 1
+            assert (features[label] == want).all()
+
+
+def test_features_and_labels_of_every_document_count(spark):
+    """No pool bound: the rounds count every unlabelled row, rows with null ids too."""
+    docs, labels = corpus(spark, 200)
+    known = spark.createDataFrame(labels[:90], "doc_id bigint, quality int, toxic int")
+    extra = docs.limit(5).selectExpr("cast(null as bigint) doc_id", "text", "lang", "source", "n_chars")
+    s, seen = common.Scratch(spark), []
+    real = quality.cotrain
+    quality.cotrain = lambda taught, pool, chosen: seen.append((taught.num_rows, pool.count())) or real(taught, pool, chosen)
+    try:
+        quality.train(docs.unionByName(extra), known, s)
+    finally:
+        quality.cotrain = real
+    assert seen == [(90, 115)]

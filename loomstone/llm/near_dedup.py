@@ -2,8 +2,9 @@
 
 A document's set is its shingles of five words (one of all words where there are fewer), weighted by count in the
 document times the mean inverse document frequency of the five words. Document frequencies are counted over the whole
-corpus; the most frequent words, KNOWN_WORDS at most, have their own, rarer ones share the least frequency of those, so
-the broadcast table is bounded and defined alike at every size.
+corpus. The inverse frequency of a word is the logarithm of 1 + documents / frequency, and saturates: words in fewer than
+one of RARE documents weigh as those in one of RARE do. This holds at every size, and so does the bound of the broadcast
+table: at most RARE times the mean number of different words of a document are in one of RARE documents or more.
 
 Each of SAMPLES consistent weighted samples picks a shingle and a quantised weight; two documents agree on a sample
 with the probability of their weighted Jaccard similarity. BANDS bands of ROWS samples give buckets: at a similarity of
@@ -13,13 +14,19 @@ Texts that are equal are one node from the start. The pivot of a bucket is its m
 others, which in a family of edited copies is their source; every other member is paired with it, which is linear in the
 bucket, and the pair is verified by the exact weighted Jaccard similarity of the whole texts. Verified pairs are joined
 into classes by alternating large-star and small-star steps. Where a bucket still holds several classes, its members
-are compared by their signatures in blocks of BLOCK; those that have a likely partner in another class are streamed
-once more with their texts, block by block, and each likely pair whose ends are not yet linked is verified, the most
-similar first. Only links are emitted, so what leaves a block is linear in it.
+are compared by their signatures in blocks of BLOCK texts or BLOCK_CHARS characters; those that have a likely partner in
+another class are streamed once more with their texts, block by block, and each likely pair whose ends are not yet linked
+is verified, the most similar first. Only links are emitted, so what leaves a block is linear in it; memory is that of
+two blocks and the longest text.
+
+Nodes are texts, told apart by 128 bits and numbered; all that is joined and linked are numbers. What a skewed join meets
+on its unique side is a written table, so that adaptive execution can split the other side's hot keys.
 
 Nulls: a null text is empty. Documents without words form a class with equal texts only. A null doc_id is a document
-like others; a class of such alone has a null class_id. Rows that repeat are members of one class. An empty table gives
-an empty result. Other columns are ignored (``keep`` passes them on).
+like others; a class of such alone has a null class_id. Rows that repeat are members of one class. Ties: of equally
+popular members of a bucket the one of the least name is its pivot. Very long texts are one row each, sampled and
+compared whole. An empty table gives an empty result. Other columns, whatever their names, are ignored (``keep`` passes
+them on).
 """
 
 from __future__ import annotations
@@ -28,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,9 +45,9 @@ from .words import U64
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 12, 4
 SAMPLES = BANDS * ROWS
-KNOWN_WORDS = 1 << 16
-#: Share of equal samples from which two members of a bucket are verified: 3.5 standard deviations under SIMILAR.
-LIKELY, BLOCK = 0.6, 512
+RARE = 256
+#: Share of equal samples from which two members of a bucket are verified: 5.2 standard deviations under SIMILAR.
+LIKELY, BLOCK, BLOCK_CHARS = 0.5, 512, 4 << 20
 SEEDS = words.mix(np.arange(1, SAMPLES + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
 
 
@@ -57,14 +65,13 @@ R_INV = (1 / R).astype(np.float32)
 
 
 class Idf:
-    """Inverse document frequencies of the known words by hash, and of all others."""
+    """Inverse document frequencies of the words in one of RARE documents or more, by hash; that of all others is the same."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, documents: int, more: bool = False):
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, documents: int):
         order = np.argsort(hashes)
         self.hashes = hashes[order]
-        least = int(counts.min()) if more and len(counts) else 1
-        self.values = np.log1p(documents / counts[order]).astype(np.float32)
-        self.other = np.float32(np.log1p(documents / max(1, least)))
+        self.values = np.log1p(np.minimum(RARE, documents / np.maximum(1, counts[order]))).astype(np.float32)
+        self.other = np.float32(np.log1p(min(RARE, max(1, documents))))
 
     def of(self, h: np.ndarray) -> np.ndarray:
         out = np.full(len(h), self.other, np.float32)
@@ -76,7 +83,7 @@ class Idf:
 
 
 def frequencies(docs: DataFrame, scratch: common.Scratch) -> Idf:
-    """Document frequencies over all rows of ``docs(text)``; the driver gets KNOWN_WORDS rows at most."""
+    """Document frequencies over all rows of ``docs(text)``; the driver gets those of one of RARE documents or more."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -108,19 +115,9 @@ def frequencies(docs: DataFrame, scratch: common.Scratch) -> Idf:
             yield rows()
 
     counted = common.filled(docs).select("text").mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    counted = scratch.table(counted, "frequencies")
-    # The least frequency at which KNOWN_WORDS words at most are left, from a histogram by steps of an eighth of a power of two.
-    step = F.floor(F.log2("n") * 8).cast("int")
-    room, least = KNOWN_WORDS, None
-    for r in counted.groupBy(step.alias("s")).agg(F.count("*").alias("c")).orderBy(F.desc("s")).collect():
-        if (room := room - r["c"]) < 0:
-            break
-        least = r["s"]
-    top = counted.where(step >= least).toPandas() if least is not None else None
-    n = docs.count()
-    if top is None:
-        return Idf(np.zeros(0, U64), np.zeros(0, np.int64), n, room < 0)
-    return Idf(top["word"].to_numpy(np.int64).view(U64), top["n"].to_numpy(np.int64), n, room < 0)
+    documents = docs.count()
+    known = counted.where(F.col("n") * RARE >= documents).toArrow()
+    return Idf(known.column("word").to_numpy().view(U64), known.column("n").to_numpy(), documents)
 
 
 def weighted(w: words.Words, idf: Idf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -172,7 +169,7 @@ def sample(doc: np.ndarray, h: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
     return doc[starts], out
 
 
-SIGNED = "doc_id bigint, k binary, bands array<bigint>, signature binary"
+SIGNED = "doc_id bigint, k binary, bands array<bigint>, signature binary, size int"
 
 
 def signed(docs: DataFrame, idf) -> DataFrame:
@@ -191,7 +188,7 @@ def signed(docs: DataFrame, idf) -> DataFrame:
                 keys ^= words.mix(np.arange(BANDS, dtype=U64))
             for d, b, m in zip(which.tolist(), keys.view(np.int64), (s >> U64(32)).astype("<u4"), strict=True):
                 bands[d], marks[d] = b, m.tobytes()
-            yield pa.record_batch([batch.column("doc_id"), batch.column("k"), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.binary())], names=["doc_id", "k", "bands", "signature"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("k"), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.binary()), pc.binary_length(batch.column("text")).cast(pa.int32())], names=["doc_id", "k", "bands", "signature", "size"])
 
     return named(docs).mapInArrow(run, SIGNED)
 
@@ -223,17 +220,18 @@ def verify(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
                 s = similarities(batch.column("x"), batch.column("y"), held)
                 yield batch.select(["a", "b"]).filter(pa.array(s >= SIMILAR - 1e-6))
 
-    joined = pairs.join(texts.select(F.col("k").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("k").alias("b"), F.col("text").alias("y")), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    joined = pairs.join(texts.select(F.col("v").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("v").alias("b"), F.col("text").alias("y")), "b")
+    return joined.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
 GROUP = ["band", "key", "i", "j"]
 
 
-def blocked(members: DataFrame) -> DataFrame:
-    """Members (band, key, k, ...) by blocks of their bucket: with more than one, a member meets every other block in a group of two."""
-    size = members.groupBy("band", "key").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n")
-    rows = members.join(size, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
+def blocked(members: DataFrame, scratch: common.Scratch) -> DataFrame:
+    """Members (band, key, v, size, ...) by blocks of their bucket: with more than one, a member meets every other block in a group of two."""
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_CHARS, F.lit(1))).cast("int")
+    size = scratch.table(members.groupBy("band", "key").agg(blocks.alias("blocks")), "blocks")
+    rows = members.join(size, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks")
 
@@ -273,15 +271,15 @@ class Block:
 
 
 def likely(members: DataFrame) -> DataFrame:
-    """Members (band, key, i, j, own, k) that have a likely partner of another class in their group."""
+    """Members (band, key, i, j, own, v) of blocked ones that have a likely partner of another class in their group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, rows in groups(batches, ["own", "k", "root", "signature", "bands"]):
-            own, k, root, signature, bands = zip(*rows, strict=True)
+        for name, rows in groups(batches, ["own", "v", "root", "signature", "bands"]):
+            own, v, root, signature, bands = zip(*rows, strict=True)
             if len(set(root)) == 1:
                 continue
             block, hit = Block(name, own, signature, bands), np.zeros(len(rows), bool)
-            _, classes = np.unique(np.array(root, object), return_inverse=True)
+            classes = np.array(root)
             for u in range(len(rows)):
                 other = block.partners(u)
                 other = other[classes[other] != classes[u]]
@@ -289,21 +287,21 @@ def likely(members: DataFrame) -> DataFrame:
                 hit[u] |= len(other) > 0
             n = int(hit.sum())
             kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32())
-            yield pa.record_batch([*(pa.array([x] * n, t) for x, t in zip(name, kinds, strict=True)), pa.array(np.array(own)[hit], pa.int32()), pa.array([x for x, h in zip(k, hit, strict=True) if h], pa.binary())], names=[*GROUP, "own", "k"])
+            yield pa.record_batch([*(pa.array([x] * n, t) for x, t in zip(name, kinds, strict=True)), pa.array(np.array(own)[hit], pa.int32()), pa.array(np.array(v)[hit])], names=[*GROUP, "own", "v"])
 
-    rows = blocked(members).repartition(*GROUP).sortWithinPartitions(*GROUP, "k").select(*GROUP, "own", "k", "root", "signature", "bands")
-    return rows.mapInArrow(run, "band int, key bigint, i int, j int, own int, k binary")
+    rows = members.repartition(*GROUP).sortWithinPartitions(*GROUP, "v").select(*GROUP, "own", "v", "root", "signature", "bands")
+    return rows.mapInArrow(run, "band int, key bigint, i int, j int, own int, v bigint")
 
 
 def settle(members: DataFrame, idf) -> DataFrame:
-    """Links (a, b) between members (band, key, i, j, own, k, root, signature, bands, text) of one group, none that others imply."""
+    """Links (a, b) between members (band, key, i, j, own, v, root, signature, bands, text) of one group, none that others imply."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = idf.value
-        for name, rows in groups(batches, ["own", "k", "root", "signature", "bands", "text"]):
+        for name, rows in groups(batches, ["own", "v", "root", "signature", "bands", "text"]):
             own, k, root, signature, bands, text = zip(*rows, strict=True)
             block, features, parent, found = Block(name, own, signature, bands), {}, list(range(len(rows))), []
-            first: dict[bytes, int] = {}
+            first: dict[int, int] = {}
             for u, r in enumerate(root):
                 parent[u] = first.setdefault(r, u)
 
@@ -333,21 +331,21 @@ def settle(members: DataFrame, idf) -> DataFrame:
                     if both >= (SIMILAR - 1e-6) * (ta + tb - both):
                         found.append((max(k[u], k[v]), min(k[u], k[v])))
                         parent[max(top(u), top(v))] = min(top(u), top(v))
-            yield pa.record_batch([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], names=["a", "b"])
+            yield pa.record_batch([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
-    rows = members.repartition(*GROUP).sortWithinPartitions(*GROUP, "k").select(*GROUP, "own", "k", "root", "signature", "bands", "text")
-    return rows.mapInArrow(run, "a binary, b binary")
+    rows = members.repartition(*GROUP).sortWithinPartitions(*GROUP, "v").select(*GROUP, "own", "v", "root", "signature", "bands", "text")
+    return rows.mapInArrow(run, "a bigint, b bigint")
 
 
 def components(edges: DataFrame, scratch: common.Scratch) -> DataFrame:
-    """(k, root): for each end of an edge (a, b) the least name it is linked to."""
+    """(v, root): for each end of an edge (a, b) the least number it is linked to."""
     edges = scratch.table(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         """Each node's neighbours (large: greater ones; small: lesser ones and itself) linked to the least around it."""
         if large:
             e = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = e.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        least = scratch.table(e.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")
         around = e.join(least, "u")
         if large:
             return around.where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -355,13 +353,13 @@ def components(edges: DataFrame, scratch: common.Scratch) -> DataFrame:
         return moved.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
     def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 31)))).first())
 
     before = None
     while (now := state(edges)) != before:
         before = now
-        edges = scratch.table(star(star(edges, True), False), "edges")
-    return edges.select(F.col("u").alias("k"), F.col("v").alias("root"))
+        edges = scratch.table(star(scratch.table(star(edges, True), "edges"), False), "edges")
+    return edges.select(F.col("u").alias("v"), F.col("v").alias("root"))
 
 
 def classes(docs: DataFrame, scratch: common.Scratch) -> DataFrame:
@@ -369,35 +367,35 @@ def classes(docs: DataFrame, scratch: common.Scratch) -> DataFrame:
     spark = docs.sparkSession
     idf = spark.sparkContext.broadcast(frequencies(docs, scratch))
     rows = scratch.table(signed(docs, idf), "signed")
-    nodes = scratch.table(rows.groupBy("k").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "nodes")
-    members = nodes.where("bands is not null").select("k", F.posexplode("bands").alias("band", "key"))
-    sizes = members.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    members = scratch.table(members.join(sizes, ["band", "key"]), "members")
-    popular = members.groupBy("k").agg(F.sum("n").alias("p"))
-    members = scratch.table(members.drop("n").join(popular, "k"), "members")
-    buckets = members.groupBy("band", "key").agg(F.max("p").alias("p"))
-    buckets = members.join(buckets, ["band", "key", "p"]).groupBy("band", "key").agg(F.min("k").alias("pivot"))
-    pairs = members.join(buckets, ["band", "key"]).where("k <> pivot")
-    tried = scratch.table(pairs.select(F.greatest("k", "pivot").alias("a"), F.least("k", "pivot").alias("b")).distinct(), "pairs")
-    wanted = members.select("k").distinct().join(nodes.select("k", "rep"), "k")
-    scan = named(docs).select(F.col("k").alias("k0"), F.col("doc_id"), "text")
-    texts = scan.join(wanted, (F.col("k0") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("k", "text").dropDuplicates(["k"])
+    nodes = rows.groupBy("k").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("signature").alias("signature"), F.first("size").alias("size"))
+    nodes = scratch.table(nodes.withColumn("v", F.monotonically_increasing_id()), "nodes")
+    members = nodes.where("bands is not null").select("v", F.posexplode("bands").alias("band", "key"))
+    sizes = scratch.table(members.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    # How many buckets' members a text meets; a text's buckets come together for that.
+    popular = members.join(sizes, ["band", "key"]).groupBy("v").agg(F.sum("n").alias("p"), F.collect_list(F.struct("band", "key")).alias("b"))
+    members = scratch.table(popular.select("v", "p", F.explode("b").alias("b")).select("v", "p", "b.*"), "members")
+    pivots = members.groupBy("band", "key").agg(F.min(F.struct((-F.col("p")).alias("p"), F.col("v").alias("pivot"))).alias("m")).select("band", "key", "m.pivot")
+    pairs = members.join(scratch.table(pivots, "pivots"), ["band", "key"]).where("v <> pivot")
+    tried = scratch.table(pairs.select(F.greatest("v", "pivot").alias("a"), F.least("v", "pivot").alias("b")).distinct(), "pairs")
+    wanted = members.select("v").distinct().join(nodes.select("v", F.col("k").alias("k0"), "rep"), "v")
+    texts = named(docs).join(wanted, (F.col("k0") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("v", "text").dropDuplicates(["v"])
     texts = scratch.table(texts, "texts")
     links = scratch.table(verify(tried, texts, idf), "links")
     roots = components(links, scratch)
-    held = members.select("band", "key", "k").join(roots, "k", "left").withColumn("root", F.coalesce("root", "k"))
+    held = members.select("band", "key", "v").join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
     held = scratch.table(held, "held")
     mixed = held.groupBy("band", "key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("band", "key")
-    open_ = held.join(mixed, ["band", "key"]).join(nodes.select("k", "signature", "bands"), "k")
-    found = scratch.table(likely(open_), "likely")
+    marks = nodes.select("v", "signature", "bands", "size")
+    open_ = held.join(scratch.table(mixed, "mixed"), ["band", "key"]).join(marks, "v")
+    found = scratch.table(likely(blocked(open_, scratch)), "likely")
     if not found.isEmpty():
-        full = found.join(held.select("k", "root").distinct(), "k").join(nodes.select("k", "signature", "bands"), "k").join(texts, "k")
+        full = found.join(held.select("v", "root").distinct(), "v").join(marks.drop("size"), "v").join(texts, "v")
         links = scratch.table(links.unionByName(settle(full, idf)), "links")
         roots = components(links, scratch)
-    rooted = rows.select("doc_id", "k").join(roots, "k", "left").withColumn("root", F.coalesce("root", "k"))
-    rooted = scratch.table(rooted, "rooted")
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    return rooted.join(least, "root").select("doc_id", "k", "class_id")
+    owned = scratch.table(nodes.select("k", "rep", "v").join(roots, "v", "left").select("k", "rep", F.coalesce("root", "v").alias("root")), "owned")
+    least = scratch.table(owned.groupBy("root").agg(F.min("rep").alias("class_id")), "least")
+    named_classes = scratch.table(owned.join(least, "root").select("k", "class_id"), "named")
+    return rows.select("doc_id", "k").join(named_classes, "k")
 
 
 def keep(docs: DataFrame, scratch: common.Scratch) -> DataFrame:

@@ -110,21 +110,44 @@ def metadata(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.tile(np.arange(n), 6), np.concatenate([*one, *pairs])
 
 
-def fit(rows: np.ndarray, columns: np.ndarray, y: np.ndarray, width: int, use: np.ndarray, l2: float = 3e-4, steps: int = 120) -> tuple[np.ndarray, float]:
-    """Logistic regression on the rows ``use`` of a 0/1 matrix given by its ones, by Adam over the whole set."""
+def fit(rows: np.ndarray, columns: np.ndarray, y: np.ndarray, width: int, use: np.ndarray, l2: float = 3e-4, steps: int = 30) -> tuple[np.ndarray, float]:
+    """Logistic regression on the rows ``use`` of a 0/1 matrix given by its ones, by L-BFGS over the whole set."""
     number = np.full(len(y), -1, np.int32)
     number[use] = np.arange(len(use))
     keep = number[rows] >= 0
     rows, columns, y = number[rows[keep]], columns[keep], y[use].astype(float)
-    w, m, v = np.zeros(width + 1), np.zeros(width + 1), np.zeros(width + 1)
+
+    def slope(w: np.ndarray) -> tuple[float, np.ndarray]:
+        z = np.bincount(rows, w[columns], len(y)) + w[-1] if len(rows) else np.full(len(y), w[-1])
+        error = sigmoid(z) - y
+        loss = np.logaddexp(0, z).mean() - (y * z).mean() + l2 / 2 * (w[:-1] @ w[:-1])
+        sums = np.bincount(columns, error[rows], width) if len(rows) else np.zeros(width)
+        return loss, np.append(sums / len(y) + l2 * w[:-1], error.mean())
+
     p = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+    w = np.zeros(width + 1)
     w[-1] = np.log(p / (1 - p))
-    for t in range(1, steps + 1):
-        z = np.bincount(rows, w[columns], len(y)) + w[-1]
-        error = sigmoid(z) - y
-        g = np.append(np.bincount(columns, error[rows], width) / len(y) + l2 * w[:-1], error.mean())
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        w -= 0.08 * m / (1 - 0.9**t) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+    (loss, g), past = slope(w), []
+    for _ in range(steps):
+        d, shares = -g, []
+        for s, t in reversed(past):
+            shares.append((s @ d) / (s @ t))
+            d = d - shares[-1] * t
+        d *= (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]) if past else 1.0
+        for (s, t), share in zip(past, reversed(shares), strict=True):
+            d = d + (share - (t @ d) / (s @ t)) * s
+        step, down = 1.0, g @ d
+        while True:
+            new, new_g = slope(w + step * d)
+            if new <= loss + 1e-4 * step * down or step < 1e-4:
+                break
+            step /= 2
+        s, t = step * d, new_g - g
+        w, g, gain, loss = w + s, new_g, loss - new, new
+        if s @ t > 1e-12:
+            past = [*past[-7:], (s, t)]
+        if gain < 1e-6:
+            break
     return w[:-1], float(w[-1])
 
 

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 
 def current(log: DataFrame, order: str = "ts") -> DataFrame:
-    """The last version of each key; deleted keys are absent."""
-    # One aggregate a column: fixed-width buffers stay in the hash aggregation, a struct would need a sort.
-    rows = log.groupBy("key").agg(F.max_by("value", order).alias("value"), F.max_by("is_deleted", order).alias("gone"), F.max(order).alias(order))
+    """The last version of each key; deleted keys are absent. Of versions of one time the one of the greater hash is last."""
+    last = F.struct(F.col(order), F.xxhash64("value", "is_deleted"))  # so value and flag come from one row
+    rows = log.groupBy("key").agg(F.max_by("value", last).alias("value"), F.max_by("is_deleted", last).alias("gone"), F.max(order).alias(order))
     return rows.where("not gone").select("key", "value", order)
 
 

@@ -181,7 +181,8 @@ def set_inter(s, d):
 
 
 def set_diff(s, d):
-    return K.set_algebra(_sets(s, d), "diff", ["click", "purchase", "nope"])
+    orders = table(s, d, "orders").select(F.col("o_orderstatus").alias("key"), F.col("o_custkey").cast("string").alias("member")).distinct()
+    return K.set_algebra(orders, "diff", ["F", "P", "nope"])
 
 
 def set_members(s, d):
@@ -299,7 +300,7 @@ QUERIES = {
     "set_random": (set_random, None),
     "set_union": (set_union, "SELECT DISTINCT user_id::VARCHAR AS member FROM events WHERE event_type IN ('click', 'error')"),
     "set_inter": (set_inter, "SELECT user_id::VARCHAR AS member FROM events WHERE event_type = 'click' INTERSECT SELECT user_id::VARCHAR FROM events WHERE event_type = 'error' INTERSECT SELECT user_id::VARCHAR FROM events WHERE event_type = 'signup'"),
-    "set_diff": (set_diff, "SELECT user_id::VARCHAR AS member FROM events WHERE event_type = 'click' EXCEPT SELECT user_id::VARCHAR FROM events WHERE event_type = 'purchase'"),
+    "set_diff": (set_diff, "SELECT o_custkey::VARCHAR AS member FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT o_custkey::VARCHAR FROM orders WHERE o_orderstatus = 'P'"),
     "set_members": (set_members, "SELECT event_type AS key, user_id::VARCHAR AS member FROM events GROUP BY ALL HAVING max(event_id) % 4 <> 0"),
     "set_cardinality": (set_cardinality, "SELECT event_type AS key, count(DISTINCT user_id) AS n, max((user_id = 7)::INT)::BIGINT AS has_7 FROM events GROUP BY 1"),
     "set_move": (set_move, "SELECT key, count(*) AS n FROM (SELECT DISTINCT CASE WHEN event_type = 'error' AND user_id::VARCHAR < '3' THEN 'click' ELSE event_type END AS key, user_id FROM events) GROUP BY 1"),

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def tumbling(events: DataFrame, width: str, late: str) -> DataFrame:
-    """Counts and sums per window and type; rows later than ``late`` behind the newest are dropped."""
+    """Counts and sums per window and type; in append and update mode rows later than ``late`` behind the newest are dropped.
+
+    In complete mode every window stays, so late rows still count.
+    """
     rows = events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return rows.select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
@@ -23,7 +30,33 @@ def change_feed(log: DataFrame, prefixes: list[str]) -> DataFrame:
     return log.withColumn("prefix", F.explode(hit))
 
 
+def _expire(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    columns = ["key", "value", "expires", "event"]
+    if state.hasTimedOut:
+        value, expires = state.get
+        state.remove()
+        yield pd.DataFrame([(key[0], value, pd.Timestamp(expires, unit="us", tz="UTC"), "expired")], columns=columns)
+        return
+    rows = pd.concat(list(frames)).sort_values(["ts", "value"])
+    value, expires = rows["value"].iloc[-1], pd.Timestamp(rows["ts"].iloc[-1])
+    expires = expires.tz_localize("UTC") if expires.tzinfo is None else expires
+    deadline = int(expires.timestamp() * 1_000_000)
+    if state.exists and state.get[1] >= deadline:
+        return
+    if deadline // 1000 <= state.getCurrentWatermarkMs():
+        if state.exists:
+            state.remove()
+        yield pd.DataFrame([(key[0], value, expires, "expired")], columns=columns)
+        return
+    state.update((value, deadline))
+    state.setTimeoutTimestamp(deadline // 1000)
+    yield pd.DataFrame([(key[0], value, expires, "set")], columns=columns)
+
+
 def expiring(rows: DataFrame, late: str) -> DataFrame:
-    """The last value of each key whose deadline ``ts`` the watermark has not passed; the state of others is dropped."""
-    fresh = rows.withWatermark("ts", late).groupBy(F.window("ts", "1 hour"), "key").agg(F.max_by("value", "ts").alias("value"), F.max("ts").alias("expires"))
-    return fresh.select("key", "value", "expires")
+    """Streamed ``rows(key, value, ts)`` as events of each key: set with its latest deadline ``ts``, expired once the watermark passes it.
+
+    One value a key is held until then; a row of an earlier deadline than that held changes nothing.
+    """
+    kept = rows.select("key", F.col("value").cast("string").alias("value"), "ts").withWatermark("ts", late)
+    return kept.groupBy("key").applyInPandasWithState(_expire, "key string, value string, expires timestamp, event string", "value string, expires bigint", "append", GroupStateTimeout.EventTimeTimeout)

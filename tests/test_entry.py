@@ -1,5 +1,8 @@
 import importlib
+import shutil
+import subprocess
 import sys
+from pathlib import Path
 
 import __spark_entry__
 
@@ -18,3 +21,11 @@ def test_the_rest_works_without_the_training_data_subpackage(monkeypatch):
     names = __spark_entry__.queries()
     assert "vector_topk" in names and not any(n.startswith("op") or n == "pipeline" for n in names)
     assert "__spark_entry__" in sys.modules
+
+
+def test_a_copy_without_the_training_data_folders_imports_and_registers_the_rest(tmp_path):
+    here = Path(__file__).resolve().parent.parent
+    shutil.copytree(here / "loomstone", tmp_path / "loomstone", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(here / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 120 and set(e.oracle_sql()) <= set(q) and not any(n.startswith('op') for n in q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "HOME": str(tmp_path)})

@@ -44,3 +44,18 @@ def test_consumer_group(spark, tmp_path):
     for k, i, at, c, who, arg in cmds:
         want[k, i] = groups.step(state.setdefault(k, {}), {"cmd": c, "at": at, "consumer": who, "arg": arg})
     assert got == want and want["s", 4] == "1-0,2-0" and want["s", 7] == "2-0,3-0"
+
+
+def test_keys_expire_when_the_watermark_passes_their_deadline(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    at = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
+    schema = "key string, value string, ts timestamp"
+    for k, rows in enumerate([[("a", "1", at(10)), ("b", "2", at(90))], [("a", "old", at(5)), ("c", "3", at(95)), ("z", "late", at(20))], [("d", "4", at(200))], [("e", "5", at(201))]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    q = windows.expiring(stream, "1 minute").writeStream.format("memory").queryName("expired").outputMode("append").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {(r["key"], r["value"], r["event"]) for r in spark.table("expired").collect()}
+    assert {("a", "1", "set"), ("a", "1", "expired"), ("b", "2", "set"), ("b", "2", "expired"), ("c", "3", "set"), ("c", "3", "expired"), ("d", "4", "set")} <= got
+    assert not any(value in ("old", "late") for _, value, _ in got) and ("d", "4", "expired") not in got

@@ -44,10 +44,7 @@ def _expire(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> It
     if state.exists and state.get[1] >= deadline:
         return
     if deadline // 1000 <= state.getCurrentWatermarkMs():
-        if state.exists:
-            state.remove()
-        yield pd.DataFrame([(key[0], value, expires, "expired")], columns=columns)
-        return
+        return  # dead on arrival
     state.update((value, deadline))
     state.setTimeoutTimestamp(deadline // 1000)
     yield pd.DataFrame([(key[0], value, expires, "set")], columns=columns)
@@ -56,7 +53,7 @@ def _expire(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> It
 def expiring(rows: DataFrame, late: str) -> DataFrame:
     """Streamed ``rows(key, value, ts)`` as events of each key: set with its latest deadline ``ts``, expired once the watermark passes it.
 
-    One value a key is held until then; a row of an earlier deadline than that held changes nothing.
+    One value a key is held until then; a row of an earlier deadline than that held, or of one that has passed, changes nothing.
     """
     kept = rows.select("key", F.col("value").cast("string").alias("value"), "ts").withWatermark("ts", late)
     return kept.groupBy("key").applyInPandasWithState(_expire, "key string, value string, expires timestamp, event string", "value string, expires bigint", "append", GroupStateTimeout.EventTimeTimeout)

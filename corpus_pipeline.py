@@ -48,7 +48,7 @@ STAGES = [
     ("benchmark decontamination", benchmark_passages),
     ("packing", pack),
 ]
-#: Automata, chains, sampling and tokenizers are beyond SQL; tests/llm compares each stage with a brute-force version.
+#: Automata, chains, sampling and tokenizers are beyond SQL; tests/llm tests the operators of the stages, and the rows that the stages pass on.
 ORACLE_SQL = None
 
 

@@ -67,12 +67,13 @@ def test_no_labels_reject_nothing(spark):
 
 
 def split_views(spark, n=1500):
-    """A corpus in which either view tells the classes apart, by many words or sources of which few are labelled."""
+    """A corpus whose sources tell the classes apart, and whose words do so only together; few rows are labelled."""
     r, rows, labels = random.Random(9), [], []
     bad, good = ([f"{x}{k}q" for k in range(60)] for x in ("bad", "good"))
     for i in range(n):
         low = r.random() < 0.4
-        ws = helpers.prose(i, 30).split() + r.choices(bad if low else good, k=2)
+        own, other = (bad, good) if low else (good, bad)
+        ws = helpers.prose(i, 30).split() + [r.choice(own if r.random() < 0.68 else other) for _ in range(6)]
         r.shuffle(ws)
         rows.append((i, " ".join(ws), "en", f"{'junk' if low else 'fine'}{r.randrange(3)}", 150 + (i % 7)))
         labels.append((i, int(not low), 0))

@@ -36,6 +36,8 @@ from . import common
 RATE, PAD = 16_000, 64
 TAPS, WINDOW, HOP, MELS, BINS = 32, 200, 100, 32, 8
 BLOCK = 1 << 18
+#: Most recordings of one stored record batch, which is one row of the table.
+ROWS = 64
 HIGH, LOW = 0.6, 0.4
 WAVE = struct.Struct("<4sI4s4sIHHIIHH4sI")
 
@@ -157,7 +159,7 @@ def features(spark: SparkSession, path: str, key: str) -> DataFrame:
     """
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, "wave", 4 << 20):
+        for batch in (x.slice(k, ROWS) for x in common.slices(batches, "wave", 4 << 20) for k in range(0, x.num_rows, ROWS)):
             out: list[list] = [[] for _ in range(8)]
             for raw in batch.column("wave").to_pylist():
                 samples, _ = from_wave(raw)

@@ -148,3 +148,10 @@ def test_feature_tells_recordings_apart_after_the_first_eighth(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     mels = [dict(x.split("=") for x in r["feature"].split(";"))["mel"] for r in media.op10_audio_features(spark, str(tmp_path)).collect()]
     assert len({*mels}) == 2 and all(len(x.split(",")) == media.BINS * media.MELS for x in mels)
+
+
+def test_rows_of_the_stored_table_hold_few_recordings(spark, tmp_path):
+    n = 3 * media.ROWS + 5
+    media.store(spark.createDataFrame([(i, f"text {i}") for i in range(n)], "doc_id bigint, text string").coalesce(1), "doc_id", "text", f"{tmp_path}/w")
+    held = [media.read_tensors(bytes(r["arrow"])) for r in media.features(spark, f"{tmp_path}/w", "doc_id").collect()]
+    assert max(t.num_rows for t in held) <= media.ROWS and sorted(x for t in held for x in t.column("doc_id").to_pylist()) == list(range(n))

@@ -270,8 +270,10 @@ def train(docs: DataFrame, labels: DataFrame, scratch: common.Scratch) -> tuple[
     taught = compact(wide, chosen).toArrow()
     none = F.lit(None).cast("int")
     every = scratch.table(compact(narrowed(docs).select(*COLUMNS, none.alias("low"), none.alias("toxic")), chosen), "compact")
-    there = every.where("doc_id is not null").join(rows.select("doc_id").distinct(), "doc_id", "left_anti").select(*every.columns)
-    pool = scratch.table(there.unionByName(every.where("doc_id is null")), "pool")
+    # Without the labels and merged at every size: the plan for a small table would say nothing of a large one.
+    pooled = every.select("doc_id", *VIEWS)
+    there = pooled.where("doc_id is not null").join(rows.select("doc_id").distinct().hint("merge"), "doc_id", "left_anti")
+    pool = scratch.table(there.unionByName(pooled.where("doc_id is null")).select(*VIEWS), "pool")
     return Model(chosen, cotrain(taught, pool, chosen)), every
 
 

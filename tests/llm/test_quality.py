@@ -130,3 +130,21 @@ def test_features_and_labels_of_every_document_count(spark):
     finally:
         quality.cotrain = real
     assert seen == [(90, 115)]
+
+
+def test_the_pool_is_joined_alike_at_every_size(spark, monkeypatch):
+    """A small table's join is that of a large one, and the pool has no columns but the two views."""
+    docs = spark.createDataFrame([(k, f"{'bad' if k % 2 else 'fine'} words {k}", "en", "s", 9) for k in range(40)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(20)], "doc_id bigint, quality int, toxic int")
+    plans, real = {}, common.Scratch.table
+
+    def table(self, df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return real(self, df, name)
+
+    monkeypatch.setattr(common.Scratch, "table", table)
+    pools, cotrain = [], quality.cotrain
+    monkeypatch.setattr(quality, "cotrain", lambda taught, pool, chosen: pools.append((pool.columns, pool.count())) or cotrain(taught, pool, chosen))
+    quality.train(docs, labels, common.Scratch(spark))
+    assert "SortMergeJoin" in plans["pool"] and "BroadcastHashJoin" not in plans["pool"]
+    assert pools == [(list(quality.VIEWS), 20)]

@@ -61,3 +61,11 @@ def test_empty_table(spark, tmp_path):
     s = common.Scratch(spark)
     token_binary.write_tokens(helpers.empty(spark), path := s.path("t"), PATH)
     assert token_binary.read_tokens(spark, path).count() == 0
+
+
+def test_lines_of_plain_words_need_no_patterns(monkeypatch):
+    enc = tokens.Encoder(PATH)
+    text = "\n".join(helpers.prose(i, 40).replace(" ", ", ") + "." for i in range(30)) + "\nÉté déjà"
+    want = enc.tok.encode(text, add_special_tokens=False).ids
+    monkeypatch.setattr(enc, "raw", None)  # the whole library is not needed
+    assert np.frombuffer(enc.encode([text])[0], enc.dtype).tolist() == want

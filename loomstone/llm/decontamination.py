@@ -24,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from . import common, words
 
@@ -255,42 +254,33 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, most: float =
 
     A row goes when more than the share ``most`` of its words was hit. Rows without a hit stay as they are.
     """
-    schema = docs.schema
-    # The row travels as one struct, so no name of its columns can clash; marks are of the uncut text in every block.
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    rows = docs.select(row, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.lit(None).cast("array<int>").alias("marked"))
-    kinds = StructType([StructField("row", schema), StructField("text", StringType()), StructField("marked", ArrayType(IntegerType()))])
-    for a in automata(items, window, block_words):
-        held = docs.sparkSession.sparkContext.broadcast(a)
-
-        def mark(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            a = held.value
-            for batch in common.slices(batches, "text"):
-                marked = batch.column("marked").to_pylist()
-                for doc, ms, _ in a.hits(words.scan(batch.column("text")), _Texts(batch.column("text"))):
-                    marked[doc] = sorted({*(marked[doc] or ()), *ms})
-                yield pa.record_batch([batch.column("row"), batch.column("text"), pa.array(marked, pa.list_(pa.int32()))], names=["row", "text", "marked"])
-
-        rows = rows.mapInArrow(mark, kinds)
-    columns = docs.columns
+    schema, columns = docs.schema, docs.columns
+    # The row travels as one struct, so no name of its columns can clash.
+    row = F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row")
+    rows = docs.select(row, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    held = [docs.sparkSession.sparkContext.broadcast(a) for a in automata(items, window, block_words)]
 
+    # One function for all blocks and the cuts: a function of its own for each would be as many Python workers at once for each task.
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text"):
-            own = pa.RecordBatch.from_arrays(batch.column("row").flatten(), names=columns)
+            w, texts = words.scan(batch.column("text")), _Texts(batch.column("text"))
+            first, every = w.bounds(), {}
+            for a in held:  # marks are of the uncut text in every block
+                for doc, ms, _ in a.value.hits(w, texts):
+                    every.setdefault(doc, set()).update(ms)
             new = {}
-            for doc, marked in enumerate(batch.column("marked").to_pylist()):
-                if not marked:
-                    continue
-                w = words.scan(batch.column("text").slice(doc, 1))
-                if len(marked) > most * len(w.hash):
+            for doc, marked in every.items():
+                lo, hi = first[doc], first[doc + 1]
+                if len(marked) > most * (hi - lo):
                     new[doc] = None
                     continue
-                raw, at, kept = batch.column("text")[doc].as_py().encode(), 0, []
-                for lo, hi in runs(marked):
-                    kept.append(raw[at : w.start[lo]])
-                    at = w.end[hi - 1]
+                start, end = w.start[lo:hi], w.end[lo:hi]
+                raw, at, kept = texts[doc], 0, []
+                for x, y in runs(sorted(marked)):
+                    kept.append(raw[at : start[x]])
+                    at = end[y - 1]
                 new[doc] = b"".join([*kept, raw[at:]]).decode()
-            yield replaced(own, new)
+            yield replaced(pa.RecordBatch.from_arrays(batch.column("row").flatten(), names=columns), new)
 
     return rows.mapInArrow(cut, schema)
 

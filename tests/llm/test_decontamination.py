@@ -89,3 +89,10 @@ def test_clean_does_not_depend_on_blocks(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     one, many = ({r["doc_id"]: r["text"] for r in dc.clean(docs, items, block_words=n).collect()} for n in (dc.BLOCK_WORDS, 14))
     assert one == many and set(one) == {0, 2} and not set(b) & set(one[0].split()) - set(helpers.prose(63, 60).split()) - set(helpers.prose(64, 60).split())
+
+
+def test_clean_takes_one_worker_a_task_however_many_blocks(spark):
+    docs, items, _, _ = _tables(spark)
+    for block in (dc.BLOCK_WORDS, 35):
+        plan = dc.clean(docs, items, block_words=block)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1

@@ -1,8 +1,9 @@
 import random
 
+import pyarrow as pa
 import pytest
 
-from loomstone.llm import tokens
+from loomstone.llm import common, tokens
 
 NAMES = ["word_bpe_49k.json", "byte_bpe_50k.json"]
 
@@ -39,3 +40,15 @@ def test_other_vocabularies_go_through_the_whole_library(tmp_path):
     tok.save(str(tmp_path / "other.json"))
     enc, text = tokens.Encoder(str(tmp_path / "other.json")), "Été déjà, vu"
     assert not enc.plain and enc.encode([text]) == enc.raw([text])
+
+
+def test_a_worker_forgets_the_words_of_an_earlier_stage(monkeypatch):
+    stage, batch = [7], pa.record_batch({"text": ["a", "b"]})
+    monkeypatch.setattr(tokens, "_stage", lambda: stage[0])
+    enc = tokens.encoder(tokens.public(NAMES[0]))
+    assert len(list(common.slices(iter([batch]), "text"))) == 1
+    assert tokens.encoder(tokens.public(NAMES[0])) is enc  # the stage's next task
+    stage[0] = 8
+    list(common.slices(iter([batch]), "text"))
+    assert tokens.encoder(tokens.public(NAMES[0])) is not enc
+    tokens._used[0] = None

@@ -59,3 +59,54 @@ def test_keys_expire_when_the_watermark_passes_their_deadline(spark, tmp_path):
     got = {(r["key"], r["value"], r["event"]) for r in spark.table("expired").collect()}
     assert {("a", "1", "set"), ("a", "1", "expired"), ("b", "2", "set"), ("b", "2", "expired"), ("c", "3", "set"), ("c", "3", "expired"), ("d", "4", "set")} <= got
     assert not any(value in ("old", "late") for _, value, _ in got) and ("d", "4", "expired") not in got
+
+
+def commands(rnd, n):
+    at, rows = 0, []
+    for seq in range(n):
+        at += rnd.choice([0, 1, 1, 2, 5, -3])
+        cmd = rnd.choice(["ADD", "ADD", "ADD", "READ", "ACK", "CLAIM"])
+        low, high = {"ADD": (0, 40), "READ": (-2, 6), "ACK": (0, 40), "CLAIM": (-2, 12)}[cmd]
+        rows.append({"seq": seq, "at": at, "cmd": cmd, "consumer": rnd.choice("ab"), "arg": str(rnd.randint(low, high))})
+    return rows
+
+
+def test_parts_of_a_group_reply_alone_as_the_plain_fold(monkeypatch):
+    import random
+    from types import SimpleNamespace
+
+    import pandas as pd
+    import pyarrow as pa
+
+    for name, value in (("CHUNK", 3), ("ROWS", 17), ("TEXT", 200), ("PART_TEXT", 60), ("PART_TIMES", 0)):
+        monkeypatch.setattr(groups, name, value)
+    for seed in range(40):
+        rnd = random.Random(seed)
+        rows, state = commands(rnd, 400), SimpleNamespace(exists=False)
+        state.update = lambda value, state=state: vars(state).update(exists=True, get=value)
+        record = []
+        for batch in (rows[:250], rows[250:]):
+            frame = pd.DataFrame(rnd.sample(batch, len(batch)))
+            record += [f for f in groups._record(("s",), iter([frame[:100], frame[100:]]), state)]
+        parts = [p.sort_values("nth") for _, p in pd.concat(record).groupby("part")]
+        assert len(parts) > 5
+        rnd.shuffle(parts)
+        got = {r["seq"]: r["reply"] for p in parts for b in groups._spell(iter([pa.RecordBatch.from_pandas(p)])) for r in b.to_pylist()}
+        plain = {}
+        assert got == {r["seq"]: groups.step(plain, r) for r in rows}
+
+
+def test_consumer_group_query_writes_in_proportion_to_its_commands(spark, tmp_path, monkeypatch):
+    from loomstone.plans import streaming_queries as Q
+
+    made, folder = [], Q.scratch.folder
+    monkeypatch.setattr(Q.scratch, "folder", lambda s, name: made.append((name, folder(s, name))) or made[-1][1])
+    wrote, text = [], []
+    for n in (5_000, 40_000):
+        events = spark.range(n).select(F.col("id").alias("event_id"), F.element_at(F.array(*map(F.lit, ("view", "click", "error"))), (F.col("id") * 7919 % 10007 % 3 + 1).cast("int")).alias("event_type"), (F.col("id") % 11).alias("user_id"))
+        events.coalesce(1).write.parquet(f"{tmp_path}/{n}/events.parquet")
+        rows = Q.consumer_groups(spark, f"{tmp_path}/{n}")
+        assert rows.columns == ["key", "seq", "reply"] and rows.count() == n
+        text.append(rows.agg(F.sum(F.length("reply"))).first()[0])
+        wrote.append(sum(r["length"] for r in spark.read.format("binaryFile").load([f for name, f in made if name == "stream"][-1] + "/*").select("length").collect()))
+    assert text[1] > 30 * text[0] and wrote[1] < 10 * wrote[0]
